@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL}
