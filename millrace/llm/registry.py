@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, token_counts
+from . import chat, decontaminate, exact_dedup, mixing, near_dedup, secrets, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_chat_format": chat.op6_chat_format,
         "op10_secrets": secrets.op10_secrets,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op2_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL, "op6_chat_format": chat.SQL}
