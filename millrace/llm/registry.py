@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, near_dedup, secrets, token_counts
+from . import chat, decontaminate, exact_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_quality": quality.op3_quality,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_chat_format": chat.op6_chat_format,
         "op10_secrets": secrets.op10_secrets,
