@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or points to one centre. One aggregate with map-side combine tells."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), "v").union(edges.select("v", F.lit(0), F.lit(None).cast("long")))
+    seen = ends.groupBy("x").agg(F.max("leaf").alias("leaf"), F.min("leaf").alias("only"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return seen.where("leaf <> only OR a <> b").isEmpty()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,10 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are taken with map-side combine and joined back, so a node with very many neighbours is no group of one task.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    stamp = _stamp(edges)
-    while stamp[0]:
+    while not _are_stars(edges):
         edges = settle(_small_star(_large_star(edges)))
-        last, stamp = stamp, _stamp(edges)
-        if stamp == last:
-            break
+        release(edges.sparkSession)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())

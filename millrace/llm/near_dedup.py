@@ -8,7 +8,7 @@
 3. Inside a cluster the full sets are compared, and what passes is linked. Components of the links are the result.
 
 Steps 2 and 3 both look for components inside groups that may be large. `_forest` never compares what is joined already,
-so that a group of near copies costs about its own length, and it gives a spanning forest, not pairs. A group too large
+so that a group of near copies costs about its own length, and it gives a star for each component, not pairs. A group too large
 for a task is cut into chunks that share a few leaders, which joins most of it in one pass; then the rows outside the
 group's main component are compared with all its chunks, which leaves no pair of different components unseen.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import release, settle, small, table
 from .graph import components
 
 #: Rows and bytes of a chunk of a group, and the leaders that all chunks of it share.
@@ -102,39 +102,43 @@ def _sketches(docs: DataFrame, k: int, hashes: int) -> DataFrame:
     return docs.mapInArrow(scan, "id bigint, n bigint, k1 bigint, k2 bigint, sig binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(g, id, n, data) of docs (g, id, text, k1, k2), where the text has the set that k1, k2 name; data holds its hashes."""
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """rows (id, text, k1, k2, ...) with the text and k1, k2 replaced by `data`, the set's hashes, where the text has the set that k1, k2 name."""
+    keep_cols = [c for c in rows.columns if c not in ("text", "k1", "k2")]
 
     def scan(batches):
         words, seen = _Words(), set()
         for batch in batches:
-            keep, n, data = [], [], []
+            keep, data = [], []
             for i, (text, *key) in enumerate(zip(batch.column("text").cast(pa.binary()), *(batch.column(c).to_pylist() for c in ("id", "k1", "k2")), strict=True)):
                 if tuple(key) in seen:  # repeated rows
                     continue
                 s = shingle_set(text.as_py(), k, words)
                 if _set_key(s) == tuple(key[1:]):  # an id may occur with other texts too
                     seen.add(tuple(key))
-                    keep.append(i), n.append(len(s)), data.append(s.tobytes())
+                    keep.append(i), data.append(s.tobytes())
             at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("g").take(at), batch.column("id").take(at), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["g", "id", "n", "data"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep_cols), pa.array(data, pa.binary())], [*keep_cols, "data"])
 
-    return docs.mapInArrow(scan, "g bigint, id bigint, n bigint, data binary")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep_cols)
+    return rows.mapInArrow(scan, f"{kinds}, data binary")
 
 
 def _forest(labels: np.ndarray, linked) -> list[tuple[int, int]]:
-    """Spanning links of rows. Rows with one label are joined already; linked(i, others) tells which others row i links to."""
+    """(row, first row of its component). Rows with one label are joined already; linked(i, others) tells which others row i links to."""
     left, out = np.arange(len(labels)), []
     while len(left):
-        stack, left = [left[0]], left[1:]
+        root, stack, left = left[0], [left[0]], left[1:]
         while stack and len(left):
             i = stack.pop()
-            same = labels[left] == labels[i]
-            stack.extend(left[same])
-            left = left[~same]
+            hit = labels[left] == labels[i]
+            if hit.any():
+                stack.extend(left[hit])
+                out.extend((j, root) for j in left[hit])
+                left = left[~hit]
             if len(left):
                 hit = linked(i, left)
-                out.extend((i, j) for j in left[hit])
+                out.extend((j, root) for j in left[hit])
                 stack.extend(left[hit])
                 left = left[~hit]
     return out
@@ -171,7 +175,7 @@ def _by_set(n: np.ndarray, data: list[bytes], percent: int, hashes: int):
 
 
 def _link_groups(rows: DataFrame, keys: list[str], kernel, percent: int, hashes: int) -> DataFrame:
-    """Spanning links (u, v) of the rows (id, n, data, label) of each group of `keys`; a task holds one group at a time."""
+    """Links (u, v), stars, of the rows (id, n, data, label) of each group of `keys`; a task holds one group at a time."""
 
     def link(ids, n, labels, data):
         if len(ids) < 2 or (labels == labels[0]).all():
@@ -202,32 +206,39 @@ def _link_groups(rows: DataFrame, keys: list[str], kernel, percent: int, hashes:
     return wide.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(scan, "u bigint, v bigint")
 
 
-def _links(members: DataFrame, kernel, percent: int, hashes: int) -> DataFrame:
-    """Links (u, v) that join all rows of a group g which the kernel joins; members: g, id, n, data."""
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("data")).alias("bytes"))
-    sizes = sizes.where("c > 1").withColumn("parts", F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("bytes") / CHUNK_BYTES)).cast("int"))
-    sizes = settle(sizes)
-    rows = members.join(sizes, "g")
+def _links(members: DataFrame, attach, kernel, percent: int, hashes: int) -> DataFrame:
+    """Links (u, v) that join all rows of a group g which the kernel joins.
+
+    members: g, id, n, bytes, without the data that the kernel compares; attach(rows) adds it as `data` to rows with an
+    id. So only what is to be compared moves, once.
+    """
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).where("c > 1")
+    sizes = settle(sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("b") / CHUNK_BYTES)).cast("int")).select("g", "c", "parts"))
+    rows = members.select("g", "id", "n", "bytes").join(small(sizes), "g")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")) < LEADERS)
     chunks = F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    first = settle(_link_groups(rows.withColumn("chunk", F.explode(chunks)).withColumn("label", F.col("id")), ["g", "chunk"], kernel, percent, hashes))
+    told = attach(rows.select("g", "id", "n", chunks.alias("chunks")))
+    first = settle(_link_groups(told.withColumn("chunk", F.explode("chunks")).withColumn("label", F.col("id")), ["g", "chunk"], kernel, percent, hashes))
+    release(first.sparkSession)
     if sizes.where("parts > 1").isEmpty():
         return first
 
     # Rows outside the main component of a large group, in blocks, against all chunks of it.
     large = rows.where("parts > 1").join(components(first).withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
-    counts = large.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("data")).alias("b"))
+    large = settle(large.select("g", "id", "n", "bytes", "parts", "label"))
+    counts = large.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b"))
     main = counts.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max("k").alias("most"), F.sum("b").alias("b"))
     outer = (F.col("k") - F.col("most")) / F.col("k")
     blocks = F.ceil(F.greatest(outer * F.col("k") / CHUNK_ROWS, outer * F.col("b") / CHUNK_BYTES)).cast("int")
     main = settle(main.where("labels > 1").select("g", "main", blocks.alias("blocks")))
-    mixed = large.join(main, "g").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")).withColumn("chunk", own)
-    against = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    outside = mixed.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pick = ["g", "block", "chunk", "id", "n", "data", "label"]
-    second = _link_groups(against.select(pick).union(outside.select(pick)), ["g", "block", "chunk"], kernel, percent, hashes)
-    return first.union(settle(second))
+    mixed = large.join(small(main), "g").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")).withColumn("chunk", own)
+    cells = lambda block, chunk: F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"))
+    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cells(b, F.col("chunk")))
+    outside = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: cells(F.col("block"), c)))
+    places = F.array_distinct(F.concat(against, F.coalesce(outside, F.array().cast("array<struct<block:int,chunk:int>>"))))
+    told = attach(mixed.select("g", "id", "n", "label", places.alias("places"))).withColumn("place", F.explode("places")).withColumns({"block": F.col("place.block"), "chunk": F.col("place.chunk")})
+    return first.union(settle(_link_groups(told, ["g", "block", "chunk"], kernel, percent, hashes)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -247,14 +258,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = sketch.where("id IS NOT NULL AND n > 0")
     kinds = settle(named.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("data"), F.count(F.lit(1)).alias("copies")))
     bucket = F.array(*[F.xxhash64(F.lit(b), F.substring("data", 4 * rows * b + 1, 4 * rows)) for b in range(bands)])
-    keys = kinds.select("id", F.explode(bucket).alias("g"))
-    shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    members = settle(keys.join(shared, "g").join(kinds.select("id", "n", "data"), "id").select("g", "id", "n", "data"))
-    clusters = components(_links(members, _by_signature, percent, hashes))
-    wanted = clusters.join(kinds.select("id", "k1", "k2"), "id").select(F.col("label").alias("g"), F.col("id").alias("rep"), "k1", "k2")
-    texts = base.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep")).select("g", "id", "text", "k1", "k2")
-    final = components(_links(settle(_sets(texts, words)), _by_set, percent, hashes))
-
+    keys = kinds.select("id", "n", F.explode(bucket).alias("g"))
+    shared = settle(keys.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"))
+    members = settle(keys.join(small(shared), "g").withColumn("bytes", F.lit(4 * hashes)))
+    release(docs.sparkSession)
+    signatures = kinds.select("id", "data")
+    clusters = settle(components(_links(members, lambda r: r.join(signatures, "id"), _by_signature, percent, hashes)))
+    release(docs.sparkSession)
+
+    named_sets = kinds.select("id", "k1", "k2", "n")
+    fellows = settle(clusters.join(named_sets.select("id", "n"), "id").select(F.col("label").alias("g"), "id", "n", (8 * F.col("n")).alias("bytes")))
+
+    def with_set(r: DataFrame) -> DataFrame:
+        wanted = small(settle(r.join(named_sets.drop("n"), "id"))).withColumnRenamed("id", "rep")
+        return _sets(base.join(wanted, F.col("id") == F.col("rep")).drop("rep"), words)
+
+    final = components(_links(fellows, with_set, _by_set, percent, hashes))
     named_ones = kinds.join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id")).where("copies > 1 OR component_id <> id")
     out = sketch.select("id", "n", "k1", "k2").join(named_ones.select("k1", "k2", "component_id"), ["k1", "k2"], "left")
     component = F.coalesce("component_id", "id")
