@@ -2,10 +2,11 @@
 
 Two zstandard dictionaries share a stretch of common words. One goes on with segments of toxic text: words that stand in
 many different surroundings in toxic documents and in few in ordinary ones. The other has nothing there. A window, one
-word after a carrier that both dictionaries hold, is compressed with both; what the toxic dictionary saves is its gain.
-Windows are written in UTF-16, so that a short word's letters weigh more than the reference that replaces them. Windows
-whose gain reaches a threshold count as hits, and a document's score compares its hits with those that toxic and ordinary
-documents of its length have (two Poisson rates). Threshold and rates are calibrated on the labelled sample.
+word after a carrier that both dictionaries hold, is compressed with both; what the toxic dictionary saves is its gain,
+and its excess is what it takes over the shortest window of a toxic segment, which is one reference. Windows are written
+in UTF-16, so that a short word's letters weigh more than the reference that replaces them. Each pair of gain and excess
+has two Poisson rates, by document in toxic text and by word in ordinary text; a document's score adds up the log ratios
+for its windows. Rates, and the threshold of the sum, are calibrated on the labelled sample.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ EDGE = ".,!?;:\"'()*#%&$|<>[]{}"
 COMMON_CHARS, TOXIC_CHARS = 12 << 10, 3 << 10
 #: A cheap level screens windows; those with any saving get the thorough one.
 SCREEN_LEVEL, LEVEL = 12, 16
-GAINS, WORDS_HELD = 16, 300_000
+GAINS, EXCESS, WORDS_HELD = 12, 12, 300_000
+CELLS = (GAINS + 1) * EXCESS
 
 
 def words(text: str | None) -> list[str]:
@@ -40,50 +42,60 @@ class Model:
         fit = lambda ws, most: ws[: int(np.searchsorted(np.cumsum([len(w) + 1 for w in ws]), most, "right"))]
         self.common = " " + " ".join(reversed(fit(common, COMMON_CHARS))) + " "
         self.toxic = " " + " ".join(reversed(fit(toxic, TOXIC_CHARS))) + " " if toxic else ""
-        self.prior, self.threshold, self.ordinary_rate, self.toxic_mean = prior, GAINS, 1e-6, 0.5
-
-    def log_odds(self, hits, n):
-        return math.log(self.prior / (1 - self.prior)) + hits * np.log1p(self.toxic_mean / (self.ordinary_rate * np.maximum(n, 50))) - self.toxic_mean
-
-    def calibrate(self, toxic: np.ndarray, n: np.ndarray, gains: np.ndarray) -> None:
-        """Chooses the threshold and rates with the fewest errors; gains[i, g]: windows of document i with gain g."""
-        best = None
-        for threshold in range(1, GAINS + 1):
-            hits = gains[:, threshold:].sum(axis=1)
-            self.ordinary_rate = (hits[toxic == 0].sum() + 0.5) / (n[toxic == 0].sum() + 1)
-            self.toxic_mean = max(0.5, float((hits - self.ordinary_rate * n)[toxic == 1].mean()))
-            wrong = ((self.log_odds(hits, n) >= 0) != (toxic == 1)).sum()
-            if best is None or wrong < best[0]:
-                best = wrong, threshold, self.ordinary_rate, self.toxic_mean
-        _, self.threshold, self.ordinary_rate, self.toxic_mean = best
-
-
-class Gains(dict):
-    """Bytes that the toxic dictionary saves on a word's window, remembered until there are too many."""
+        self.prior = prior
+        self.ordinary, self.toxic_mean, self.cut = np.ones(CELLS), np.zeros(CELLS), 0.0
+
+    def weigh(self, seen: np.ndarray, n) -> np.ndarray:
+        """Sum of log ratios; seen[..., cell]: windows of a document of n words by gain and excess."""
+        return (seen * np.log1p(self.toxic_mean / (self.ordinary * np.maximum(n, 50)[..., None]))).sum(axis=-1)
+
+    def calibrate(self, toxic: np.ndarray, n: np.ndarray, seen: np.ndarray) -> None:
+        """Rates of the cells, and the cut with the fewest errors: the middle of the gap there."""
+        self.ordinary = (seen[toxic == 0].sum(axis=0) + 0.5) / (n[toxic == 0].sum() + 1)
+        more = seen[toxic == 1].sum(axis=0) - self.ordinary * n[toxic == 1].sum()
+        self.toxic_mean = np.where(more >= 3, more, 0) / (toxic == 1).sum()
+        weights = self.weigh(seen, n)
+        order = np.argsort(weights, kind="stable")
+        w, y = weights[order], toxic[order] == 1
+        wrong = np.concatenate([[0], np.cumsum(y)]) + (~y).sum() - np.concatenate([[0], np.cumsum(~y)])
+        edge = np.flatnonzero(w[1:] > w[:-1]) + 1
+        if len(edge):
+            at = edge[np.argmin(wrong[edge])]
+            self.cut = float(w[at - 1] + w[at]) / 2
+
+
+class Windows(dict):
+    """Gain * EXCESS + excess of a word's window, both capped, remembered until there are too many."""
 
     def __init__(self, model: Model):
         plain, own = "\0" * len(model.toxic) + model.common, model.toxic + model.common
         self.carrier = model.common[-40:]
         self.pairs = [(self._compressor(plain, level), self._compressor(own, level)) for level in (SCREEN_LEVEL, LEVEL)]
+        self.least = min((len(self.pairs[1][1].compress(self.window(w))) for w in model.toxic.split()), default=0)
 
     @staticmethod
     def _compressor(text: str, level: int) -> zstandard.ZstdCompressor:
-        held = zstandard.ZstdCompressionDict(text.encode("utf-16-le"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(text.encode("utf-16-le", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(level)
         return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+    def window(self, word: str) -> bytes:
+        return f"{self.carrier}{word} ".encode("utf-16-le", "surrogatepass")
+
     def __missing__(self, word: str) -> int:
-        window = f"{self.carrier}{word} ".encode("utf-16-le", "surrogatepass")
+        window, got = self.window(word), 0
         for plain, own in self.pairs:
-            gain = len(plain.compress(window)) - len(own.compress(window))
-            if gain < 2:
+            size = len(own.compress(window))
+            gain = len(plain.compress(window)) - size
+            if gain < 1:
                 break
-        gain = min(max(gain, 0), GAINS)
+        else:
+            got = min(gain, GAINS) * EXCESS + min(max(size - self.least, 0), EXCESS - 1)
         if len(word) < 64:
             if len(self) > WORDS_HELD:
                 self.clear()
-            self[word] = gain
-        return gain
+            self[word] = got
+        return got
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -101,20 +113,22 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "word string, toxic int, around bigint").distinct()
 
 
-def _histograms(rows: DataFrame, model: Model, keep: str) -> DataFrame:
-    """(keep, n, gains) of rows (keep, text): words, and windows by gain."""
+def _windows(rows: DataFrame, model: Model, keep: str, whole: bool) -> DataFrame:
+    """(keep, n, weight) of rows (keep, text): words and the weight of the windows, or with `whole` windows by gain and excess."""
 
     def scan(batches):
-        gains = Gains(model)
+        held = Windows(model)
         for batch in batches:
-            n, hist = [], []
+            n, out = [], []
             for text in batch.column("text").to_pylist():
                 ws = words(text)
+                seen = np.bincount(np.fromiter(map(held.__getitem__, ws), np.int64, len(ws)), minlength=CELLS)
                 n.append(len(ws))
-                hist.append(np.bincount(np.fromiter(map(gains.__getitem__, ws), np.int64, len(ws)), minlength=GAINS + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(n, pa.int64()), pa.array(hist, pa.list_(pa.int64()))], [keep, "n", "gains"])
+                out.append(seen if whole else float(model.weigh(seen, np.int64(len(ws)))))
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()) if whole else pa.float64())], [keep, "n", "weight"])
 
-    return rows.select(keep, "text").mapInArrow(scan, f"{keep} {rows.schema[keep].dataType.simpleString()}, n bigint, gains array<bigint>")
+    kind = rows.schema[keep].dataType.simpleString()
+    return rows.select(keep, "text").mapInArrow(scan, f"{keep} {kind}, n bigint, weight {'array<bigint>' if whole else 'double'}")
 
 
 def train(labelled: DataFrame, sample_rows: int = 20_000) -> Model:
@@ -137,8 +151,8 @@ def train(labelled: DataFrame, sample_rows: int = 20_000) -> Model:
     toxic = [r["word"] for r in telling.orderBy(share.desc(), "word").limit(TOXIC_CHARS // 4).collect()]
     model = Model(common, toxic, (n1 + 1) / (n0 + n1 + 2))
     if toxic:
-        got = _histograms(picked, model, "toxic").toPandas()
-        model.calibrate(got["toxic"].to_numpy(), got["n"].to_numpy(), np.stack(got["gains"]))
+        got = _windows(picked, model, "toxic", True).toPandas()
+        model.calibrate(got["toxic"].to_numpy(), got["n"].to_numpy(), np.stack(got["weight"]))
     return model
 
 
@@ -148,10 +162,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000) -> DataFrame:
-    """One row per row of `docs`: id, held_out boolean, score double in [0, 1], predicted int (score >= 0.5), n_words, n_hits long.
+    """One row per row of `docs`: id, held_out boolean, score double in [0, 1], predicted int (score >= 0.5), n_words long, weight double.
 
     Learns from labelled rows that are not held out, at most sample_rows of them; scores see the text alone. Defined
-    cases: a null or empty text has no windows and gets the score of no hits; null labels are ignored, and of several
+    cases: a null or empty text has no windows and weighs nothing; null labels are ignored, and of several
     labels of an id the largest counts; without labels of both kinds every score is the smoothed share of label 1; repeated
     and null ids are scored like others; an empty table gives no rows; other columns are not read.
     """
@@ -159,12 +173,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     marks = settle(marks.orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # a bounded sample, so it may be broadcast
     model = train(rows.join(F.broadcast(marks), "id").dropDuplicates(["id"]), sample_rows)
-    found = _histograms(rows, model, "id")
-    hits = F.aggregate(F.slice("gains", model.threshold + 1, GAINS + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    found = found.select("id", F.col("n").alias("n_words"), hits.alias("n_hits"))
-    odds = F.lit(math.log(model.prior / (1 - model.prior))) - model.toxic_mean * bool(model.toxic) + F.col("n_hits") * F.log1p(model.toxic_mean / (model.ordinary_rate * F.greatest(F.col("n_words"), F.lit(50))))
+    found = _windows(rows, model, "id", False)
+    odds = F.col("weight") - model.cut if model.toxic else F.lit(math.log(model.prior / (1 - model.prior)))
     score = 1 / (1 + F.exp(-odds))
-    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", "n_hits")
+    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("n").alias("n_words"), F.col("weight"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
