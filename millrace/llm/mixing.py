@@ -74,6 +74,21 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", "edge", (F.col("rest").cast("double") / F.col("words")).alias("part"))
 
 
+def mix_plan(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """One row per source: s, source_size, target, whole, edge, part; rows: source, size, h. Small if few sources are."""
+    goal = settle(source_targets(rows, list(weights)))
+    whole = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(REPEATS)).cast("long")
+    goal = goal.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    edges = thresholds(rows.where("size > 0"), goal.where("rest > 0"))
+    plan = goal.join(edges.withColumnRenamed("source", "es"), F.col("source").eqNullSafe(F.col("es")), "left").drop("es", "rest")
+    return small(settle(plan).withColumnRenamed("source", "s"))
+
+
+def _taken(size: Column, h: Column) -> Column:
+    more = F.when(h < F.col("edge"), size).when(h == F.col("edge"), F.floor(size * F.col("part")).cast("long")).otherwise(F.lit(0))
+    return F.col("whole") * size + more
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """One row per row of `docs`: id, size, source_size, target, taken. Weights are those of the sources by code point, null last, repeating.
 
@@ -84,15 +99,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other than id, text and source are not read.
     """
     rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(id_col).alias("h")))
-    goal = settle(source_targets(rows, list(weights)))
-    whole = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(REPEATS)).cast("long")
-    goal = goal.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    edges = thresholds(rows.where("size > 0"), goal.where("rest > 0"))
-    plan = goal.join(edges.withColumnRenamed("source", "es"), F.col("source").eqNullSafe(F.col("es")), "left").drop("es", "rest")
-    plan = small(settle(plan).withColumnRenamed("source", "s"))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    more = F.when(F.col("h") < F.col("edge"), F.col("size")).when(F.col("h") == F.col("edge"), F.floor(F.col("size") * F.col("part")).cast("long")).otherwise(F.lit(0))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + more).alias("taken"))
+    out = rows.join(mix_plan(rows, weights), F.col("source").eqNullSafe(F.col("s")))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(F.col("size"), F.col("h")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The rows of `docs` of which the mix takes words, with all their columns and `taken`; rules and cases as for mix_sources.
+
+    Texts stay where they are: the plan, a row per source, goes to them. A column of docs that is called taken is replaced.
+    """
+    rows = settle(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(id_col).alias("h")))
+    plan = mix_plan(rows, weights).select(F.struct("whole", "edge", "part").alias("_plan"), F.col("s").alias("_s"))
+    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_s")))
+    size, h = word_count(F.col(text_col)), doc_hash(id_col)
+    edge, part = F.col("_plan.edge"), F.col("_plan.part")
+    more = F.when(h < edge, size).when(h == edge, F.floor(size * part).cast("long")).otherwise(F.lit(0))
+    return out.withColumn("taken", F.col("_plan.whole") * size + more).where("taken > 0").drop("_plan", "_s")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing, near_dedup, quality, secrets, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_html_text": html_text.op5_html_text,
         "op6_chat_format": chat.op6_chat_format,
         "op10_secrets": secrets.op10_secrets,
         "op7_token_counts": token_counts.op7_token_counts,
