@@ -79,7 +79,7 @@ def length_by_file(diff: Column) -> Column:
 
 
 def code_files(files: Column) -> Column:
-    return F.filter(files, is_code)
+    return F.filter(files, lambda p: is_code(p))
 
 
 def languages(files: Column) -> Column:

@@ -48,7 +48,8 @@ def cider(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
 
     def grams(side: str) -> DataFrame:
-        each = F.concat(*[F.transform(sim.ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in ORDERS])
+        named = lambda n: F.transform(sim.ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        each = F.concat(*map(named, ORDERS))
         long = rows.select(*keys, F.size(side).alias("len"), F.explode(each).alias("x"))
         return long.groupBy(*keys, "len", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg((F.count(F.lit(1)) / F.greatest(F.col("len") - F.col("n") + 1, F.lit(1))).alias("tf"))
 
