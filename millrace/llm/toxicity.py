@@ -62,6 +62,8 @@ class Model:
         if len(edge):
             at = edge[np.argmin(wrong[edge])]
             self.cut = float(w[at - 1] + w[at]) / 2
+        else:  # no window tells the kinds apart
+            self.cut = -math.log(self.prior / (1 - self.prior))
 
 
 class Windows(dict):
@@ -142,14 +144,14 @@ def train(labelled: DataFrame, sample_rows: int = 20_000) -> Model:
     seen = _contexts(picked).groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("c0"), F.count_if(F.col("toxic") == 1).alias("c1"))
     seen = settle(seen)
     t0, t1 = seen.agg(F.sum("c0"), F.sum("c1")).first()
-    common = [r["word"] for r in seen.orderBy(F.desc("c0"), "word").limit(COMMON_CHARS // 4).collect()]
+    common = [r["word"] for r in seen.where("c0 > 0").orderBy(F.desc("c0"), "word").limit(COMMON_CHARS // 4).collect()]
     # Chernoff's bound on the chance of so large a toxic part, with as many tries as there are words.
     p, n, c = F.lit((t1 or 0.5) / max((t0 or 0) + (t1 or 0), 1)), F.col("c0") + F.col("c1"), F.col("c1")
     rest = F.when(F.col("c0") > 0, F.col("c0") * F.log(F.col("c0") / n / (1 - p))).otherwise(0.0)
     telling = seen.where((c > 2) & (c / n > p) & (c * F.log(c / n / p) + rest >= math.log(seen.count() + 1)) & (c >= 0.005 * n1))
     share = F.col("c1") / F.lit(max(t1 or 0, 1)) - F.col("c0") / F.lit(max(t0 or 0, 1))
     toxic = [r["word"] for r in telling.orderBy(share.desc(), "word").limit(TOXIC_CHARS // 4).collect()]
-    model = Model(common, toxic, (n1 + 1) / (n0 + n1 + 2))
+    model = Model([w for w in common if w not in set(toxic)], toxic, (n1 + 1) / (n0 + n1 + 2))
     if toxic:
         got = _windows(picked, model, "toxic", True).toPandas()
         model.calibrate(got["toxic"].to_numpy(), got["n"].to_numpy(), np.stack(got["weight"]))
