@@ -47,8 +47,8 @@ def suitability_score(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice, (o_orderkey % 7)::INT AS w, (o_orderkey % 9000)::INT AS len FROM orders)
-SELECT o_orderkey, round(-0.5 * 2.0 - abs(len - 5500) / 3000.0 + CASE WHEN w >= 4 THEN 0.5 WHEN w >= 3 THEN 0.3 ELSE 0 END + 3 * 0.1, 6) AS profiling,
-round(CASE WHEN w >= 5 THEN 2.0 WHEN w >= 4 THEN 1.5 WHEN w >= 3 THEN 1.0 WHEN w <= 1 THEN -2.0 ELSE 0 END + CASE WHEN len BETWEEN 3000 AND 7000 THEN 0.5 ELSE 0 END + least(3, 5) * 0.2 - CASE WHEN w < 2 THEN 1.0 ELSE 0 END, 6) AS evaluation FROM o""")
+SELECT o_orderkey, round(-0.5 * 2.0 - abs(len - 5500) / 3000.0 + CASE WHEN w >= 4 THEN 0.5 WHEN w >= 3 THEN 0.3 ELSE 0 END + 3 * 0.1, 6)::DOUBLE AS profiling,
+round(CASE WHEN w >= 5 THEN 2.0 WHEN w >= 4 THEN 1.5 WHEN w >= 3 THEN 1.0 WHEN w <= 1 THEN -2.0 ELSE 0 END + CASE WHEN len BETWEEN 3000 AND 7000 THEN 0.5 ELSE 0 END + least(3, 5) * 0.2 - CASE WHEN w < 2 THEN 1.0 ELSE 0 END, 6)::DOUBLE AS evaluation FROM o""")
 def task_scores(spark, sf_dir):
     words, length = (F.col("o_orderkey") % 7).cast("int"), (F.col("o_orderkey") % 9000).cast("int")
     chars = F.when(words < 2, 5).otherwise(30)
