@@ -13,30 +13,49 @@ from millrace.llm.near_dedup import near_dedup
 from millrace.llm.quality import resample
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of `dropped`; a row without id can't be named and stays. Texts move only if the ids are too many to broadcast."""
-    ids = small(settle(dropped.select(F.col("doc_id")).where("doc_id IS NOT NULL")))
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame, nulls: str) -> DataFrame:
+    """docs with ROW, a key of each row's own that rises with doc_id; rows without id come `nulls`, first or last.
+
+    Where ids are unique and none is null, that is the id itself and nothing moves. Elsewhere rows are sorted, numbered and written once.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id"))
+    ids = F.col("doc_id").asc_nulls_first() if nulls == "first" else F.col("doc_id").asc_nulls_last()
+    return settle(docs.orderBy(ids, F.sha2("text", 256)).withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows of `dropped`. Texts move only if these are too many to broadcast."""
+    rows = small(settle(dropped.select(ROW)))
+    return keyed.join(rows, ROW, "left_anti").select([c for c in keyed.columns if c != ROW])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps; the classifier's rejects go."""
-    return _without(docs, resample(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")))
+    """Documents that importance resampling keeps; the classifier's rejects go. A label holds for all rows of its id."""
+    keyed = _keyed(docs, "last")
+    labels = table(spark, sf_dir, "labels").join(keyed.select("doc_id", ROW), "doc_id")
+    return _without(keyed, resample(keyed, labels, id_col=ROW).where(~F.col("kept")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs).where(~F.col("kept")))
+    """One document of each group of equal texts, with an id if one has it."""
+    keyed = _keyed(docs, "first")
+    return _without(keyed, exact_dedup(keyed, id_col=ROW).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return _without(docs, near_dedup(docs, words=5, percent=80).where(~F.col("kept")))
+    """One document of each group of near copies, with an id if one has it: five-word shingles, a similarity of 0.8 or more."""
+    keyed = _keyed(docs, "last")
+    return _without(keyed, near_dedup(keyed, id_col=ROW, words=5, percent=80).where(~F.col("kept")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    keyed = _keyed(docs, "last")
+    return _without(keyed, decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
