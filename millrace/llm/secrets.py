@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and random strings that a tokenizer gives away.
 
 A vocabulary learned from text needs few tokens for what people write and many for what a generator wrote. Runs of
-letters, digits and a few signs that take a token for every one or two characters, though they mix kinds of characters as
+letters, digits and signs that take a token for every one or two characters, though they mix kinds of characters as
 keys do, are reported besides the patterns' matches. Digests and identifiers are of that kind too but no secrets; they are
-told by their form and left out.
+told by their form and left out. So are runs under 12 characters, and letters of one case alone: words that a vocabulary
+hardly knows take as many tokens as random letters do.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Runs with the punctuation of passwords in them, what may end a sentence or frame a word, and what parts them.
+MIXED = re.compile(rf"[A-Za-z0-9+/_=.!?@#$%^&*~-]{{{LEAST},}}")
+EDGE = ".!?@#$%^&*~"
+PART = re.compile(rf"[{re.escape(EDGE)}]+")
 #: Forms of digests (md5, sha-1, sha-224, sha-256, sha-384, sha-512 in hex, and the prefixed forms of lock files) and of identifiers.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|sha(?:1|256|384|512)[-_][A-Za-z0-9+/]+=*)\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
@@ -52,16 +58,40 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _known(run: str) -> bool:
+    """Whether a run has a form that is no secret's: a digest, an identifier, or words and numbers."""
+    kinds = sum((any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run)))
+    return kinds < 2 or any(form.match(run) for form in (DIGEST, UUID, WORDS))
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], encoder, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates under `ratio` characters a token that mix letters and digits or cases, are of no known form and touch no span taken."""
+    """Candidates under `ratio` characters a token that mix letters and digits or cases, are of no known form and touch no span taken.
+
+    A run with punctuation counts as a whole if one of its parts is of no known form, and by its runs without punctuation otherwise.
+    """
     out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        kinds = sum((any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run)))
-        if kinds < 2 or DIGEST.match(run) or UUID.match(run) or WORDS.match(run) or any(s < m.end() and m.start() < e for s, e, _ in taken):
+
+    def add(start: int, end: int) -> bool:
+        run = text[start:end]
+        free = not any(s < end and start < e for s, e, _ in taken)
+        if free and len(run) < ratio * len(encoder.encode_ordinary(run)):
+            out.append((start, end, "random"))
+            return True
+        return False
+
+    for m in MIXED.finditer(text):
+        start, end = m.span()
+        core = m[0].strip(EDGE)
+        if len(core) >= LEAST:
+            start += m[0].index(core)
+            end = start + len(core)
+        whole = text[start:end]
+        parts = [p for p in PART.split(whole) if p]
+        if PART.search(whole) and not whole.startswith("//") and not all(map(_known, parts)) and add(start, end):
             continue
-        if len(run) < ratio * len(encoder.encode_ordinary(run)):
-            out.append((m.start(), m.end(), "random"))
+        for c in CANDIDATE.finditer(text, start, end):
+            if not _known(c[0]):
+                add(*c.span())
     return out
 
 
