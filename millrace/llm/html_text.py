@@ -20,7 +20,10 @@ from .common import table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math select datalist textarea title input".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title input".split())
+#: What svg and math hold besides what they show, and elements that stand on lines of their own though they are no blocks.
+FOREIGN, UNDRAWN = frozenset(("svg", "math")), frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+LINES = frozenset(("option", "optgroup"))
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 #: A start tag closes the nearest open element of the second set, unless one of the third stands between.
@@ -33,6 +36,9 @@ CLOSES = {
 }
 #: No end tag of something outside closes one of these.
 WALLS = frozenset(("table", "td", "th", "caption", "template"))
+#: Where a table takes nothing but its parts; what else stands there is shown before the table.
+BARE = frozenset("table thead tbody tfoot tr".split())
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 #: Content that ends an unclosed head.
 HEAD_ONLY = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 
@@ -43,17 +49,45 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element: its name, its attributes and its children, which are nodes and texts."""
+    """An element: its name, its attributes, whether it is of svg or math, and its children, which are nodes and texts."""
 
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "foreign", "children")
 
-    def __init__(self, name: str, attrs: str = ""):
-        self.name, self.children = name, []
+    def __init__(self, name: str, attrs: str = "", foreign: bool = False):
+        self.name, self.foreign, self.children = name, foreign, []
         self.attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)} if attrs.strip(" /\n") else {}
 
     def hidden(self) -> bool:
         a = self.attrs
-        return self.name in HIDDEN or bool(a) and ("hidden" in a or UNSEEN.search(a.get("style", "")) is not None or (self.name == "dialog" and "open" not in a))
+        return self.name in HIDDEN or self.foreign and self.name in UNDRAWN or bool(a) and ("hidden" in a or UNSEEN.search(a.get("style", "")) is not None or (self.name == "dialog" and "open" not in a))
+
+
+def _bare(stack: list[Node], name: str) -> int:
+    """The place of the open part of a table that a new part goes to, 0 if there is none or a cell is nearer."""
+    home = {"td": BARE, "th": BARE, "tr": BARE - {"tr"}}.get(name, {"table"})
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].name in home:
+            return i
+        if stack[i].name in WALLS and stack[i].name != "caption":
+            break
+    return 0
+
+
+def _add(stack: list[Node], child: Node | str) -> None:
+    """Puts a child under the innermost open element, or before the table if it has no place there."""
+    top = stack[-1]
+    if top.name not in BARE or (child.isspace() if isinstance(child, str) else child.name in PARTS):
+        top.children.append(child)
+        return
+    i = len(stack) - 1
+    while i > 0 and stack[i].name != "table":
+        i -= 1
+    if i == 0:  # rows without a table
+        top.children.append(child)
+        return
+    around = stack[i - 1].children
+    at = next((k for k in range(len(around) - 1, -1, -1) if around[k] is stack[i]), len(around))
+    around.insert(at, child)
 
 
 def build(page: str) -> Node:
@@ -63,14 +97,17 @@ def build(page: str) -> Node:
     while at < end:
         m = TOKEN.match(page, at)
         if m is None:  # a tag that never ends, as text
-            stack[-1].children.append(html.unescape(page[at:]))
+            _add(stack, html.unescape(page[at:]))
             break
         at = m.end()
         close, name, attrs, text = m.groups()
         if text is not None:
             if stack[-1].name == "head" and not text.isspace():
                 stack.pop()
-            stack[-1].children.append(html.unescape(text))
+            text = html.unescape(text)
+            if stack[-1].name == "colgroup" and not text.isspace():
+                stack.pop()
+            _add(stack, text)
             continue
         if name is None:
             continue
@@ -93,13 +130,22 @@ def build(page: str) -> Node:
                 break
             if stack[i].name in walls:
                 break
-        node = Node(name, attrs)
-        stack[-1].children.append(node)
-        if name in VOID or attrs.endswith("/") and name in ("path", "circle", "rect", "use"):
+        if name in PARTS - {"col"} and (i := _bare(stack, name)):  # ends captions, and what was moved out of the table
+            del stack[i + 1 :]
+        elif stack[-1].name == "colgroup" and name != "template":
+            stack.pop()
+        if name == "table" and stack[-1].name in BARE and (i := max((i for i, n in enumerate(stack) if n.name == "table"), default=0)):
+            del stack[i:]
+        node = Node(name, attrs, stack[-1].foreign or name in FOREIGN)
+        if name == "form" and stack[-1].name in BARE:  # holds nothing there; its rows are the table's
+            continue
+        _add(stack, node)
+        if name in VOID or attrs.endswith("/") and (name in ("path", "circle", "rect", "use") or node.foreign):
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.children.append(page[at : stop.start() if stop else end])
+            inner = page[at : stop.start() if stop else end]
+            node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             at = stop.end() if stop else end
             continue
         stack.append(node)
@@ -180,9 +226,6 @@ def _table(node: Node, out: _Page) -> None:
         for k in range(max(map(len, row))):
             parts = [(lines[k] if k < len(lines) else "") for lines in row]
             out.put("  ".join(s + " " * (w - _width(s)) for s, w in zip(parts, widths, strict=False)).rstrip())
-    loose = [c for c in node.children if not isinstance(c, str) and c.name not in ("caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th")]
-    for c in loose:  # what has no place in a table is shown after it
-        _render(c, out)
     out.end(True)
 
 
@@ -213,6 +256,12 @@ def _render(top: Node, out: _Page) -> None:
                 out.text(n.attrs["alt"])
         elif name == "table":
             _table(n, out)
+        elif name == "textarea":
+            out.end()
+            said = _plain(n).removeprefix("\n").rstrip()
+            for line in said.split("\n") if said else ():
+                out.put(line)
+            out.end()
         elif name == "pre":
             out.end(True)
             for line in _plain(n).removeprefix("\n").rstrip("\n").split("\n"):
@@ -222,7 +271,7 @@ def _render(top: Node, out: _Page) -> None:
             children = n.children
             if name == "details" and "open" not in n.attrs:
                 children = [c for c in children if not isinstance(c, str) and c.name == "summary"]
-            block = name in BLOCK and n is not top
+            block = (name in BLOCK or name in LINES or n.foreign and name == "text") and n is not top
             if name in ("li", "dd", "blockquote"):
                 out.end(name == "blockquote")
                 step_in, kind = (more or "- ", True) if name == "li" else ("  ", False)
