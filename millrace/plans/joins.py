@@ -61,17 +61,38 @@ def grid_expand(spark, sf_dir):
     return runs.grid(spark, {"bs": [8, 16, 32], "sbs": [4, 8, 12], "th": [0.2, 0.8]}).select(F.col("bs").cast("int"), F.col("sbs").cast("int"), "th", (F.col("bs") % F.col("sbs") == 0).alias("valid"))
 
 
-@query("SELECT item_id, count(*) AS docs FROM (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '') GROUP BY 1")
-def contamination(spark, sf_dir):
-    """Whole benchmark texts inside documents. Pairs are tried by a first word that both must have, so no cross join is needed."""
-    items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("item"))
+SHORT_BLOCK = 1_000
+
+
+def items_inside(docs, items):
+    """(item_id, docs): how many documents hold an item's whole text.
+
+    Pairs are tried by a word inside the item, which both must have, so no cross join is needed. Items under four words have
+    none; they are searched in all documents, at most about SHORT_BLOCK of them at a time.
+    """
+    items = items.where("text <> ''").select("item_id", F.col("text").alias("item")).distinct()
+    docs = docs.select("doc_id", "text")
     inner = F.filter(F.split("item", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    items = items.withColumn("word", F.try_element_at(inner, F.lit(3)))  # neither the first nor the last word: those may go on outside
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.when(F.size(inner) > 3, F.try_element_at(inner, F.lit(3)))  # neither the first nor the last word: those may go on outside
+    items = items.withColumn("word", word)
     heads = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("word"))
     likely = heads.join(items.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    held = likely.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "item"))
-    return held.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    named = docs.withColumnRenamed("doc_id", "d"), items.where("word IS NOT NULL").withColumnRenamed("item_id", "i")
+    held = likely.join(named[0], F.col("doc_id").eqNullSafe(F.col("d"))).join(named[1], F.col("item_id").eqNullSafe(F.col("i"))).where(F.contains("text", "item"))
+    held = held.select("item_id", "doc_id")
+
+    short = items.where("word IS NULL").select("item_id", "item")
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for b in range(blocks):
+        side = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
+        held = held.unionByName(docs.join(F.broadcast(side), F.contains("text", "item")).select("item_id", "doc_id"))
+    return held.distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT item_id, count(*) AS docs FROM (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '') GROUP BY 1")
+def contamination(spark, sf_dir):
+    """Whole benchmark texts inside documents."""
+    return items_inside(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT a.user_id, a.v AS clicks, b.v AS buys, round(a.v - b.v, 6) AS delta FROM (SELECT user_id, round(avg(value), 6) AS v FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1) a JOIN (SELECT user_id, round(avg(value), 6) AS v FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY 1) b USING (user_id)")
