@@ -75,6 +75,16 @@ def padded_examples(spark, sf_dir):
     return rows.select("doc_id", F.size("i").cast("long").alias("ids"), F.size(F.filter("l", lambda x: x != -100)).cast("long").alias("learnt"))
 
 
+@query("""SELECT doc_id, k + (32 - k % 32) % 32 AS ids, k AS learnt FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS k FROM documents) WHERE k <= 2048""")
+def padded_texts(spark, sf_dir):
+    """Whole texts, padded; as in the rules, one of more than 2,048 words is rejected and none is cut."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").where(F.size(words) <= 2048)
+    ids, labels = building.pad_block(F.transform(words, lambda w: F.hash(w)), F.array().cast("array<int>"), 32, 0)
+    rows = docs.where("text IS NOT NULL").select("doc_id", ids.alias("i"), labels.alias("l"))
+    return rows.select("doc_id", F.size("i").cast("long").alias("ids"), F.size(F.filter("l", lambda x: x != -100)).cast("long").alias("learnt"))
+
+
 @query("SELECT n AS files, count(*) AS tasks FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE n BETWEEN 2 AND 5 GROUP BY n")
 def filecount_hist(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("files"))
