@@ -1,10 +1,13 @@
 """Benchmark decontamination as a prefix-filtered set join over windows, in DataFrame operations alone.
 
-A window of an item is contained in a text only if all its words are there, so the prefix of a window, its words ordered
-by rarity in the documents, needs to be one word long: the rarest. Occurrences of these words are the candidates. The
-word's place in the window bounds the places in the text (not before its start, not over its end), and the words there
-are compared with the window one by one. Documents are read twice: to count the windows' words, and to join. The words of
-a text are exploded, joined, bounded and compared in one stage, in which only what matches leaves the generator.
+The tokens of a window are its shingles, `SHINGLE` neighbouring words (a shorter window is one shingle), as 64-bit hashes,
+ordered by rarity over all documents. A window is contained in a text only if all its shingles are, so the prefix that has
+to be joined is one long: the rarest. Occurrences of these are the candidates. The shingle's place in the window bounds the
+places in the text (not before its start, not over its end), and there the words are compared one by one.
+
+Documents are read twice: to count the shingles, and to join. While the prefixes fit in a broadcast, the shingles of a
+text are joined, bounded and compared in the stage that reads it, and only what matches leaves it. Beyond that, prefixes are joined by
+shuffle, whatever their number, and the texts that have candidates are read once more for the comparison.
 """
 
 from __future__ import annotations
@@ -12,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle, table
+from .common import ascii_lower, fits, settle, small, table
 
 #: All code points of ASCII but digits and a-z (after lower-casing).
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: No word has it; it stands for the end of a text.
-END = "\x00"
-#: Windows that one broadcast holds; a larger benchmark is joined in blocks of so many.
-BLOCK_WINDOWS = 500_000
+#: Words of a shingle.
+SHINGLE = 3
 
 
 def words_of(text: Column) -> Column:
@@ -27,24 +28,52 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(win, items): each distinct window with the ids, as strings, of the items that have it."""
+def shingles(words: Column, size: int) -> Column:
+    """Hashes of `size` neighbouring words, by place; none for fewer words."""
+    joined = lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
+    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), joined)).otherwise(F.array().cast("array<bigint>"))
+
+
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(win_id, win): each distinct window; (win_id, item): the ids, as strings, of the items that have it."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("start")
     wins = items.select("item", "w", start).select("item", F.slice("w", F.col("start") + 1, window).alias("win"))
-    return wins.groupBy("win").agg(F.collect_set("item").alias("items"))
+    # 128 bits, so that no two windows of any benchmark share an id.
+    named = settle(wins.select("item", "win", F.md5(F.array_join("win", " ").cast("binary")).alias("win_id")).distinct())
+    return named.groupBy("win_id").agg(F.first("win").alias("win")), named.select("win_id", "item")
+
+
+def _sizes(windows: DataFrame) -> list[int]:
+    """Sizes of the shingles that windows need: SHINGLE, and those of shorter windows."""
+    return sorted(r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect())
+
+
+def _hashes(words: Column, sizes: list[int]) -> Column:
+    """(pos, h) of all shingles of these sizes."""
+    each = [F.transform(shingles(words, s), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for s in sizes]
+    return F.concat(*each) if each else F.array().cast("array<struct<pos:int,h:bigint>>")
+
+
+def anchored(windows: DataFrame, docs: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
+    """windows with `h`, the shingle that is rarest over all documents, and `off`, its place in the window."""
+    own = F.concat(*[F.when(F.least(F.size("win"), F.lit(SHINGLE)) == s, _hashes(F.col("win"), [s])).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")) for s in sizes]) if sizes else _hashes(F.col("win"), [])
+    each = settle(windows.select("win_id", "win", F.inline(own)).withColumnRenamed("pos", "off"))
+    vocabulary = settle(each.select("h").distinct())
+    spoken = docs.select(F.explode(F.transform(_hashes(words_of(F.col(text_col)), sizes), lambda x: x["h"])).alias("h"))
+    if fits(vocabulary):
+        counts = spoken.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    else:  # counted before it moves, so that a frequent shingle is one row a task
+        counts = spoken.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "h", "left_semi")
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")
+    return each.join(small(settle(counts)), "h", "left").groupBy("win_id").agg(F.min(rarity).alias("best"), F.first("win").alias("win")).select("win_id", "win", F.col("best.h").alias("h"), F.col("best.off").alias("off"))
 
 
-def anchored(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """windows with `word`, the one that is rarest over all documents, and `off`, its place in the window."""
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    spoken = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
-    if vocabulary.limit(BLOCK_WINDOWS + 1).count() <= BLOCK_WINDOWS:
-        vocabulary = F.broadcast(vocabulary)
-    counts = spoken.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    each = windows.select("win", "items", F.posexplode("win").alias("off", "word")).join(counts, "word", "left")
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")).alias("best")
-    return each.groupBy("win", "items").agg(best).select("win", "items", F.col("best.word").alias("word"), F.col("best.off").alias("off"))
+def _places(words: Column, pos: Column, off: Column, win: Column) -> Column:
+    """Where the window starts if it is there, null if not."""
+    start = pos - off
+    inside = (start >= 0) & (start + F.size(win) <= F.size(words))
+    return F.when(inside & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(win)) == win), start)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -54,36 +83,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occurrence of a window is hit. n_items counts items with a window in the text, items_sha256 is of their ids, sorted as
     strings and comma-joined (of nothing: the hash of the empty string). Defined cases: null and wordless texts have no words and
     no hits; items without id or words are ignored; repeated documents get a row each; a null id stays null; an empty
-    benchmark hits nothing; columns other than the named ones are not read.
+    benchmark hits nothing, an empty table gives no rows; columns other than the named ones are not read.
     """
-    windows = settle(item_windows(benchmark, item_col, item_text_col, window))
-    anchors = settle(anchored(windows, docs, text_col))
-    blocks = max(1, -(-anchors.count() // BLOCK_WINDOWS))
-
-    text = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), F.array_append(words_of(F.col(text_col)), F.lit(END)).alias("w"))
-    said = text.select("id", "key", "w", F.posexplode("w").alias("pos", "word"))
-    none = docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"), F.lit(END).alias("word"), F.lit(0).alias("off"))
-    parts = []
-    for b in range(blocks):
-        side = anchors if blocks == 1 else anchors.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
-        found = said.join(F.broadcast(side.unionByName(none) if b == 0 else side), "word")
-        start = F.col("pos") - F.col("off")
-        bounded = (start >= 0) & (start + F.size("win") < F.size("w"))
-        same = F.slice("w", start + 1, F.size("win")) == F.col("win")
-        found = found.where((F.col("word") == END) | (F.when(bounded, same).otherwise(F.lit(False))))
-        parts.append(found.select("id", "key", F.when(F.col("word") == END, F.col("pos")).alias("n_words"), F.when(F.col("word") != END, F.struct(start.alias("start"), (start + F.size("win")).alias("end"))).alias("span"), "items"))
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-
-    each = hits.groupBy("id", "key").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.count("n_words").alias("rows"),
-        F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    windows, owners = item_windows(benchmark, item_col, item_text_col, window)
+    windows = settle(windows)
+    sizes = _sizes(windows)
+    anchors = settle(anchored(windows, docs, text_col, sizes))
+
+    text = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), words_of(F.col(text_col)).alias("w"))
+    if fits(anchors):
+        # An entry of its own stands for the text itself, so that one pass gives the number of words too.
+        whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("h")))
+        said = text.select("id", "key", "w", F.inline(F.concat(whole, _hashes(F.col("w"), sizes))))
+        found = said.join(F.broadcast(anchors), "h", "left").where("pos < 0 OR win_id IS NOT NULL")
+        found = found.withColumn("start", _places(F.col("w"), F.col("pos"), F.col("off"), F.col("win"))).where("pos < 0 OR start IS NOT NULL")
+        found = found.select("id", "key", F.when(F.col("pos") < 0, F.size("w")).alias("n_words"), "win_id", "start", F.size("win").alias("len"))
+    else:
+        said = text.select("id", "key", F.inline(_hashes(F.col("w"), sizes)))
+        likely = settle(said.join(anchors.select("h", "off", "win_id"), "h").select("id", "key", "pos", "off", "win_id").distinct())
+        named = small(likely.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct())
+        texts = text.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["id", "key"])
+        full = likely.join(windows, "win_id").join(texts.select(F.col("id").alias("i"), F.col("key").alias("k"), "w"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+        hits = full.withColumn("start", _places(F.col("w"), F.col("pos"), F.col("off"), F.col("win"))).where("start IS NOT NULL")
+        found = text.select("id", "key", F.size("w").alias("n_words"), F.lit(None).cast("string").alias("win_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"))
+        found = found.unionByName(hits.select("id", "key", F.lit(None).cast("int").alias("n_words"), "win_id", "start", F.size("win").alias("len")))
+
+    span = F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end")))
+    each = settle(found.groupBy("id", "key").agg(F.max("n_words").cast("long").alias("n_words"), F.count("n_words").alias("rows"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("win_id").alias("wins")))
+    # Items of the windows hit; only texts with hits take part.
+    owned = each.where(F.size("wins") > 0).select("id", "key", F.explode("wins").alias("win_id")).join(small(settle(owners)), "win_id")
+    listed = owned.groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = each.join(small(settle(listed)), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     zero = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["hit"] + F.greatest(s["end"] - F.greatest(s["start"].cast("long"), a["end"]), F.lit(0))).cast("long").alias("hit"), F.greatest(a["end"], s["end"].cast("long")).alias("end")))
-    each = each.select("id", "n_words", covered["hit"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("_"))
-    return each.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    out = each.select("id", "n_words", covered["hit"].alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

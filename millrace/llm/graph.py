@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import discard, settle
+
+#: Nodes with a share of 1 / HUBS of all edges are hubs.
+HUBS = 1000
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -15,27 +18,42 @@ def _are_stars(edges: DataFrame) -> bool:
     return seen.where("leaf <> only OR a <> b").isEmpty()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node, and its neighbours that are not larger, point to the smallest of them. edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _beside(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges with their node's row of `least` (u, m, degree).
+
+    Nodes with 1/HUBS of all edges, of which there are at most HUBS, go to the edges; those of other nodes meet by shuffle.
+    """
+    many = F.col("degree") * HUBS >= total
+    hubs = F.broadcast(least.where(many).select("u", "m"))
+    others = edges.join(F.broadcast(least.where(many).select("u")), "u", "left_anti").join(least.where(~many).select("u", "m"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").union(others.select("u", "v", "m"))
+
+
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, what they are made of). Each node, and its neighbours that are not larger, point to the smallest of them. edges: u > v."""
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")))
+    total = least.agg(F.sum("degree")).first()[0] or 0
+    moved = _beside(edges, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """The larger neighbours of each node point to the smallest node of its neighbourhood, itself included."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, what they are made of). The larger neighbours of each node point to the smallest node of its neighbourhood, itself included."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"))
+    total = least.agg(F.sum("degree")).first()[0] or 0
+    return _beside(both, least, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for each node of edges (u, v): label is the smallest node that it reaches. Loops and repeats do no harm.
 
-    Minima are taken with map-side combine and joined back, so a node with very many neighbours is no group of one task.
+    Minima are taken with map-side combine; those of nodes with very many neighbours are broadcast, so that no such node is a group of one task.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(edges):
-        edges = settle(_small_star(_large_star(edges)))
-        release(edges.sparkSession)
+        for star in (_large_star, _small_star):
+            moved, least = star(edges)
+            done, edges = edges, settle(moved)
+            discard(done, least)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, small, table
+from ..operators.ordering import running
+from .common import fresh, settle, small, table
 
 BITS, LEVELS = 12, 3
 #: Largest number of times that a document, and so a source, may be taken.
@@ -37,22 +38,24 @@ def source_targets(rows: DataFrame, weights: list[int]) -> DataFrame:
 
     Sources by code point, null last, have `weights`, repeating. With caps of REPEATS * size the shares settle like water
     in vessels: by rising capacity per weight, a source is capped while the level of those after it would exceed its own.
-    The window orders one row per source, never documents.
+    Places and sums come from sorted ranges, so that sources may be as many as hosts.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    sums = sums.withColumn("w", w)
-    rise = W.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after, every = rise.rowsBetween(W.unboundedPreceding, -1), rise.rowsBetween(0, W.unboundedFollowing), W.partitionBy()
+    sums = settle(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    nth = running(sums, [], [F.col("source").asc_nulls_last()])
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
+    weighed = settle(nth.withColumn("w", w).select("source", "source_size", "w"))
+    words, every = weighed.agg(F.sum("source_size"), F.sum("w")).first()
+    words, every = words or 0, every or 0
+    rise = [(F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last()]
     cap = F.col("source_size") * REPEATS
-    sums = sums.withColumns({"left_words": F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0)), "left_w": F.sum("w").over(after)})
-    sums = sums.withColumn("free", cap * F.col("left_w") >= F.col("left_words") * F.col("w"))
-    sums = sums.withColumn("nth", F.row_number().over(rise))
-    first = F.min(F.when(F.col("free"), F.struct("nth", "left_words", "left_w"))).over(every)
-    sums = sums.withColumn("first", first)
-    target = F.when(F.col("nth") >= F.col("first.nth"), (F.col("first.left_words") * F.col("w")).cast("double") / F.col("first.left_w")).otherwise(cap.cast("double"))
-    return sums.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+    ranked = running(weighed, [], rise, "nth", {"capped": cap, "weight": F.col("w")})
+    # Before its place: words given to sources at their caps, and the weight that is left from it on.
+    ranked = settle(ranked.withColumns({"left_words": F.lit(words) - F.col("capped") + cap, "left_w": F.lit(every) - F.col("weight") + F.col("w")}))
+    free = ranked.where(cap * F.col("left_w") >= F.col("left_words") * F.col("w"))
+    first = free.agg(F.min(F.struct("nth", "left_words", "left_w")).alias("first")).first()["first"]
+    at, level, over = (first["nth"], first["left_words"], first["left_w"]) if first else (every + 1, 0, 1)
+    target = F.when(F.col("nth") >= at, (F.lit(level) * F.col("w")).cast("double") / F.lit(over)).otherwise(cap.cast("double"))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -84,9 +87,11 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return small(settle(plan).withColumnRenamed("source", "s"))
 
 
-def _taken(size: Column, h: Column) -> Column:
-    more = F.when(h < F.col("edge"), size).when(h == F.col("edge"), F.floor(size * F.col("part")).cast("long")).otherwise(F.lit(0))
-    return F.col("whole") * size + more
+def _taken(size: Column, h: Column, plan: str = "") -> Column:
+    """Words that the plan's columns take of a document."""
+    edge = F.col(f"{plan}edge")
+    more = F.when(h < edge, size).when(h == edge, F.floor(size * F.col(f"{plan}part")).cast("long")).otherwise(F.lit(0))
+    return F.col(f"{plan}whole") * size + more
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -106,15 +111,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """The rows of `docs` of which the mix takes words, with all their columns and `taken`; rules and cases as for mix_sources.
 
-    Texts stay where they are: the plan, a row per source, goes to them. A column of docs that is called taken is replaced.
+    Texts stay where they are: the plan, a row per source, goes to them. A column of docs that is called taken is
+    replaced; any others may have any names.
     """
     rows = settle(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(id_col).alias("h")))
-    plan = mix_plan(rows, weights).select(F.struct("whole", "edge", "part").alias("_plan"), F.col("s").alias("_s"))
-    out = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_s")))
-    size, h = word_count(F.col(text_col)), doc_hash(id_col)
-    edge, part = F.col("_plan.edge"), F.col("_plan.part")
-    more = F.when(h < edge, size).when(h == edge, F.floor(size * part).cast("long")).otherwise(F.lit(0))
-    return out.withColumn("taken", F.col("_plan.whole") * size + more).where("taken > 0").drop("_plan", "_s")
+    plan, key = fresh(docs, "plan", "plan_source")
+    told = small(settle(mix_plan(rows, weights).select(F.struct("whole", "edge", "part").alias(plan), F.col("s").alias(key))))
+    out = docs.join(told, F.col(source_col).eqNullSafe(F.col(key)))
+    taken = _taken(word_count(F.col(text_col)), doc_hash(id_col), f"{plan}.")
+    return out.withColumn("taken", taken).where(F.col("taken") > 0).drop(plan, key)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@
 
 Steps 2 and 3 both look for components inside groups that may be large. `_forest` never compares what is joined already,
 so that a group of near copies costs about its own length, and it gives a star for each component, not pairs. A group too large
-for a task is cut into chunks that share a few leaders, which joins most of it in one pass; then the rows outside the
-group's main component are compared with all its chunks, which leaves no pair of different components unseen.
+for a task is cut into chunks that share a few leaders, which joins most of it in one pass. What that leaves in several
+components is dealt anew by its other bands: two texts that are alike share some. Only groups of these that hold several components go on; where
+such a group is still too large, the rows outside its main component are compared with all its chunks.
 """
 
 from __future__ import annotations
@@ -23,20 +24,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, settle, small, table
+from .common import settle, small, table
 from .graph import components
 
 #: Rows and bytes of a chunk of a group, and the leaders that all chunks of it share.
 CHUNK_ROWS, CHUNK_BYTES, LEADERS = 224, 24 << 20, 24
 
 
+#: Words that a task remembers, and the bytes of the longest of them.
+WORDS_HELD, LONGEST_HELD = 250_000, 64
+
+
 class _Words(dict):
-    """Hashes of words, remembered until there are too many."""
+    """Hashes of words, remembered until there are too many; long words are hashed each time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_HELD:
+            if len(self) >= WORDS_HELD:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -206,39 +213,55 @@ def _link_groups(rows: DataFrame, keys: list[str], kernel, percent: int, hashes:
     return wide.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(scan, "u bigint, v bigint")
 
 
-def _links(members: DataFrame, attach, kernel, percent: int, hashes: int) -> DataFrame:
+def _parts(members: DataFrame) -> DataFrame:
+    """(g, c, parts): rows of each group of several, and the chunks that it makes."""
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).where("c > 1")
+    return settle(sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("b") / CHUNK_BYTES)).cast("int")).select("g", "c", "parts"))
+
+
+def _links(members: DataFrame, attach, kernel, percent: int, hashes: int, buckets) -> DataFrame:
     """Links (u, v) that join all rows of a group g which the kernel joins.
 
     members: g, id, n, bytes, without the data that the kernel compares; attach(rows) adds it as `data` to rows with an
-    id. So only what is to be compared moves, once.
+    id. So only what is to be compared moves, once. buckets(rows) adds `sub`, a row for each bucket of the id.
     """
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b")).where("c > 1")
-    sizes = settle(sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("b") / CHUNK_BYTES)).cast("int")).select("g", "c", "parts"))
+    sizes = _parts(members)
     rows = members.select("g", "id", "n", "bytes").join(small(sizes), "g")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")) < LEADERS)
     chunks = F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
     told = attach(rows.select("g", "id", "n", chunks.alias("chunks")))
     first = settle(_link_groups(told.withColumn("chunk", F.explode("chunks")).withColumn("label", F.col("id")), ["g", "chunk"], kernel, percent, hashes))
-    release(first.sparkSession)
-    if sizes.where("parts > 1").isEmpty():
+    large = sizes.where("parts > 1")
+    if large.isEmpty():
         return first
 
-    # Rows outside the main component of a large group, in blocks, against all chunks of it.
-    large = rows.where("parts > 1").join(components(first).withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
-    large = settle(large.select("g", "id", "n", "bytes", "parts", "label"))
-    counts = large.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b"))
-    main = counts.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("k"), F.max("k").alias("most"), F.sum("b").alias("b"))
+    labelled = rows.where("parts > 1").join(components(first).withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = settle(labelled.select("g", "id", "n", "bytes", "label"))
+    several = F.min("label") != F.max("label")
+    mixed = settle(labelled.groupBy("g").agg(several.alias("mixed")).where("mixed").select("g"))
+    dealt = buckets(labelled.join(small(mixed), "g")).where("sub <> g").withColumn("g", F.xxhash64("g", "sub")).drop("sub")
+    dealt = settle(dealt)
+    mixed = settle(dealt.groupBy("g").agg(several.alias("mixed")).where("mixed").select("g"))
+    return first.union(_links_outside(settle(dealt.join(small(mixed), "g")), attach, kernel, percent, hashes))
+
+
+def _links_outside(members: DataFrame, attach, kernel, percent: int, hashes: int) -> DataFrame:
+    """Links between the components (label) of each group g. In groups of several chunks, rows outside the main component meet all chunks, in blocks; nothing else is left to compare."""
+    rows = members.join(small(_parts(members)), "g")
+    counts = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b"))
+    main = counts.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.sum("b").alias("b"))
     outer = (F.col("k") - F.col("most")) / F.col("k")
     blocks = F.ceil(F.greatest(outer * F.col("k") / CHUNK_ROWS, outer * F.col("b") / CHUNK_BYTES)).cast("int")
-    main = settle(main.where("labels > 1").select("g", "main", blocks.alias("blocks")))
-    mixed = large.join(small(main), "g").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")).withColumn("chunk", own)
+    main = settle(main.select("g", "main", blocks.alias("blocks")))
+    chunk, block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
+    dealt = rows.join(small(main), "g").withColumns({"chunk": F.when(F.col("parts") > 1, chunk).otherwise(0), "block": F.when(F.col("parts") > 1, block).otherwise(0)})
     cells = lambda block, chunk: F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"))
-    against = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cells(b, F.col("chunk")))
+    against = F.transform(F.sequence(F.lit(0), F.when(F.col("parts") > 1, F.col("blocks") - 1).otherwise(0)), lambda b: cells(b, F.col("chunk")))
     outside = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: cells(F.col("block"), c)))
     places = F.array_distinct(F.concat(against, F.coalesce(outside, F.array().cast("array<struct<block:int,chunk:int>>"))))
-    told = attach(mixed.select("g", "id", "n", "label", places.alias("places"))).withColumn("place", F.explode("places")).withColumns({"block": F.col("place.block"), "chunk": F.col("place.chunk")})
-    return first.union(settle(_link_groups(told, ["g", "block", "chunk"], kernel, percent, hashes)))
+    told = attach(dealt.select("g", "id", "n", "label", places.alias("places"))).withColumn("place", F.explode("places")).withColumns({"block": F.col("place.block"), "chunk": F.col("place.chunk")})
+    return settle(_link_groups(told, ["g", "block", "chunk"], kernel, percent, hashes))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -257,23 +280,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = settle(_sketches(base, words, hashes))
     named = sketch.where("id IS NOT NULL AND n > 0")
     kinds = settle(named.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("data"), F.count(F.lit(1)).alias("copies")))
-    bucket = F.array(*[F.xxhash64(F.lit(b), F.substring("data", 4 * rows * b + 1, 4 * rows)) for b in range(bands)])
-    keys = kinds.select("id", "n", F.explode(bucket).alias("g"))
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("data", 4 * rows * b + 1, 4 * rows)) for b in range(bands)]))
+    signatures = kinds.select("id", "data")
+
+    def with_signature(r: DataFrame) -> DataFrame:
+        return small(settle(r)).join(signatures, "id")
+
+    def with_buckets(r: DataFrame) -> DataFrame:
+        return with_signature(r).withColumn("sub", bucket).drop("data")
+
+    keys = kinds.select("id", "n", bucket.alias("g"))
     shared = settle(keys.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"))
     members = settle(keys.join(small(shared), "g").withColumn("bytes", F.lit(4 * hashes)))
-    release(docs.sparkSession)
-    signatures = kinds.select("id", "data")
-    clusters = settle(components(_links(members, lambda r: r.join(signatures, "id"), _by_signature, percent, hashes)))
-    release(docs.sparkSession)
+    clusters = settle(components(_links(members, with_signature, _by_signature, percent, hashes, with_buckets)))
 
     named_sets = kinds.select("id", "k1", "k2", "n")
     fellows = settle(clusters.join(named_sets.select("id", "n"), "id").select(F.col("label").alias("g"), "id", "n", (8 * F.col("n")).alias("bytes")))
 
     def with_set(r: DataFrame) -> DataFrame:
-        wanted = small(settle(r.join(named_sets.drop("n"), "id"))).withColumnRenamed("id", "rep")
-        return _sets(base.join(wanted, F.col("id") == F.col("rep")).drop("rep"), words)
+        # An id may stand in a group for each band; its text is read and cut up once.
+        once = r.groupBy("id").agg(F.collect_list(F.struct(*[c for c in r.columns if c != "id"])).alias("places_of"))
+        wanted = small(settle(small(settle(once)).join(named_sets.drop("n"), "id"))).withColumnRenamed("id", "rep")
+        return _sets(base.join(wanted, F.col("id") == F.col("rep")).drop("rep"), words).select("id", "data", F.inline("places_of"))
 
-    final = components(_links(fellows, with_set, _by_set, percent, hashes))
+    final = components(_links(fellows, with_set, _by_set, percent, hashes, with_buckets))
     named_ones = kinds.join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id")).where("copies > 1 OR component_id <> id")
     out = sketch.select("id", "n", "k1", "k2").join(named_ones.select("k1", "k2", "component_id"), ["k1", "k2"], "left")
     component = F.coalesce("component_id", "id")

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, registry, secrets, token_counts, toxicity
+from millrace.llm import chat, common, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, registry, secrets, token_counts, toxicity
 from millrace.llm.graph import components
 from millrace.llm.template import TemplateError, compile_template
 from tests.llm.brute import near_components
@@ -100,12 +100,12 @@ def test_decontamination_equals_brute_force(spark):
     none = decontaminate.decontaminate(docs(spark, (1, "a b")), bench.limit(0)).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in none] == [(2, 0, False)]
     assert decontaminate.decontaminate(docs(spark), bench).count() == 0
-    held = decontaminate.BLOCK_WINDOWS
+    held = common.BROADCAST_BYTES
     try:
-        decontaminate.BLOCK_WINDOWS = 5  # more windows than a broadcast holds
+        common.BROADCAST_BYTES = 100  # prefixes that no broadcast holds
         again = decontaminate.decontaminate(docs(spark, *rows), bench).collect()
     finally:
-        decontaminate.BLOCK_WINDOWS = held
+        common.BROADCAST_BYTES = held
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
@@ -129,6 +129,24 @@ def test_near_dedup_equals_brute_force(spark):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_of_a_bucket_without_a_main_component(spark):
+    """Texts that share their rarest shingles and little else fill buckets that no component dominates."""
+    rng, rows = random.Random(8), []
+    for i in range(90):
+        own = " ".join(f"o{i // 2}_{j}" for j in range(30))
+        rows.append((i, " ".join(f"common{j}" for j in range(40)) + " " + own + (f" z{i}" if i % 4 == 1 else "")))
+        rows.append((1000 + i, " ".join(rng.choice("abcdefgh") for _ in range(6))))
+    held = near_dedup.CHUNK_ROWS, near_dedup.LEADERS
+    try:
+        near_dedup.CHUNK_ROWS, near_dedup.LEADERS = 6, 1
+        got = near_dedup.near_dedup(docs(spark, *rows), words=2, percent=85).collect()
+    finally:
+        near_dedup.CHUNK_ROWS, near_dedup.LEADERS = held
+    want = near_components(rows, 2, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 40
+
+
 def test_near_dedup_null_ids_and_empty_table(spark):
     got = near_dedup.near_dedup(docs(spark, (None, "a b c"), (None, "q"), (5, "a b c"), (3, "a b c"))).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 3, False), (3, 3, True), (5, 3, False)]
