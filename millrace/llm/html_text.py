@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +44,15 @@ PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 #: Content that ends an unclosed head.
 HEAD_ONLY = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+#: A tag: possessive throughout, so that nothing is read twice, whether it ends or not. Quotes count only after =.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]*+)))?+""")
+COMMENT = re.compile(r"--!?>")
+DISPLAY = re.compile(r"(?:^|;)\s*+display\s*+:\s*+([a-z-]++)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*+visibility\s*+:\s*+(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: The largest spans that HTML knows.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 class Node:
@@ -55,101 +62,145 @@ class Node:
 
     def __init__(self, name: str, attrs: str = "", foreign: bool = False):
         self.name, self.foreign, self.children = name, foreign, []
-        self.attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)} if attrs.strip(" /\n") else {}
+        self.attrs: dict[str, str] = {}
+        if attrs.strip(" /\n"):
+            for m in ATTRIBUTE.finditer(attrs):
+                self.attrs.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
 
     def hidden(self) -> bool:
+        """Whether the element and all in it is left out."""
         a = self.attrs
-        return self.name in HIDDEN or self.foreign and self.name in UNDRAWN or bool(a) and ("hidden" in a or UNSEEN.search(a.get("style", "")) is not None or (self.name == "dialog" and "open" not in a))
+        if self.name in HIDDEN or self.foreign and self.name in UNDRAWN:
+            return True
+        if not a:
+            return self.name == "dialog"
+        said = DISPLAY.findall(a.get("style", ""))
+        return said[-1].lower() == "none" if said else "hidden" in a or (self.name == "dialog" and "open" not in a)
 
+    def visible(self, above: bool) -> bool:
+        """Whether text in the element is seen, given whether that above is: visibility is inherited, and may be turned on again."""
+        said = VISIBILITY.findall(self.attrs.get("style", "")) if self.attrs else ()
+        return said[-1].lower() == "visible" if said else above
 
-def _bare(stack: list[Node], name: str) -> int:
-    """The place of the open part of a table that a new part goes to, 0 if there is none or a cell is nearer."""
-    home = {"td": BARE, "th": BARE, "tr": BARE - {"tr"}}.get(name, {"table"})
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name in home:
-            return i
-        if stack[i].name in WALLS and stack[i].name != "caption":
-            break
-    return 0
 
+class _Builder:
+    """The open elements, and the places of each name among them, so that no tag has to search them."""
 
-def _add(stack: list[Node], child: Node | str) -> None:
-    """Puts a child under the innermost open element, or before the table if it has no place there."""
-    top = stack[-1]
-    if top.name not in BARE or (child.isspace() if isinstance(child, str) else child.name in PARTS):
-        top.children.append(child)
-        return
-    i = len(stack) - 1
-    while i > 0 and stack[i].name != "table":
-        i -= 1
-    if i == 0:  # rows without a table
-        top.children.append(child)
-        return
-    around = stack[i - 1].children
-    at = next((k for k in range(len(around) - 1, -1, -1) if around[k] is stack[i]), len(around))
-    around.insert(at, child)
+    def __init__(self):
+        self.root = Node("")
+        self.stack, self.places = [self.root], {}
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """Closes what is open from place i on."""
+        while len(self.stack) > i:
+            self.places[self.stack.pop().name].pop()
+
+    def add(self, child: Node | str) -> None:
+        """Puts a child under the innermost open element, or before the table if it has no place there."""
+        top = self.stack[-1]
+        at = self.last("table")
+        if top.name not in BARE or at == 0 or (child.isspace() if isinstance(child, str) else child.name in PARTS):
+            top.children.append(child)
+            return
+        around, held = self.stack[at - 1].children, self.stack[at]
+        around.insert(next((k for k in range(len(around) - 1, -1, -1) if around[k] is held), len(around)), child)
+
+    def text(self, text: str) -> None:
+        if not text:
+            return
+        text = html.unescape(text)
+        if self.stack[-1].name in ("head", "colgroup") and not text.isspace():
+            self.cut(len(self.stack) - 1)
+        self.add(text)
+
+    def end(self, name: str) -> None:
+        if name == "br":
+            self.add(Node("br"))
+        at = self.last(name)
+        if at and (at >= self.last(*WALLS) or name in ("table", "tr", "thead", "tbody", "tfoot", "body", "html")):
+            self.cut(at)
+
+    def start(self, name: str, attrs: str) -> Node | None:
+        """The element, if it stays open or has raw text to come."""
+        if self.places.get("head") and name not in HEAD_ONLY:
+            self.cut(self.places["head"][0])
+        closing, walls = CLOSES.get(name, ((), ()))
+        if (at := self.last(*closing)) > self.last(*walls):
+            self.cut(at)
+        if name in ("li", "dd", "dt") and (at := self.last("p")) > self.last("button", "td", "th", "caption", "table"):
+            self.cut(at)
+        if name in PARTS - {"col"}:  # ends captions, and what was moved out of the table
+            home = {"td": BARE, "th": BARE, "tr": BARE - {"tr"}}.get(name, ("table",))
+            if (at := self.last(*home)) and at >= self.last(*(WALLS - {"caption"})):
+                self.cut(at + 1)
+        elif self.stack[-1].name == "colgroup" and name not in ("col", "template"):
+            self.cut(len(self.stack) - 1)
+        if self.stack[-1].name in BARE:
+            if name == "table" and (at := self.last("table")):
+                self.cut(at)
+            elif name == "form":  # holds nothing there; its rows are the table's
+                return None
+        node = Node(name, attrs, self.stack[-1].foreign or name in FOREIGN)
+        self.add(node)
+        return None if name in VOID or attrs.endswith("/") and node.foreign else node
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
 
 
 def build(page: str) -> Node:
-    """The tree of a page. Whatever is left open at the end is closed there."""
-    root = Node("")
-    stack, at, end = [root], 0, len(page)
+    """The tree of a page. Whatever is left open at the end is closed there; a tag that never ends is none, and ends the page."""
+    tree, at, end = _Builder(), 0, len(page)
     while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends, as text
-            _add(stack, html.unescape(page[at:]))
+        tag = page.find("<", at)
+        tree.text(page[at : tag if tag >= 0 else end])
+        if tag < 0:
             break
-        at = m.end()
-        close, name, attrs, text = m.groups()
-        if text is not None:
-            if stack[-1].name == "head" and not text.isspace():
-                stack.pop()
-            text = html.unescape(text)
-            if stack[-1].name == "colgroup" and not text.isspace():
-                stack.pop()
-            _add(stack, text)
-            continue
-        if name is None:
+        sign = page[tag + 1 : tag + 2]
+        if sign in ("!", "?") or sign == "/" and not page[tag + 2 : tag + 3].isalpha():
+            if page.startswith("<![CDATA[", tag) and tree.stack[-1].foreign:
+                stop = page.find("]]>", tag)
+                tree.add(page[tag + 9 : stop if stop >= 0 else end])
+                at = stop + 3 if stop >= 0 else end
+            elif page.startswith("<!--", tag):
+                stop = COMMENT.search(page, tag + (2 if page.startswith(("<!-->", "<!--->"), tag) else 4))
+                at = stop.end() if stop else end
+            else:
+                at = page.find(">", tag) + 1 or end
             continue
-        name = name.lower()
-        if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in WALLS and name not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html"):
-                    break
+        if not (sign == "/" or sign.isascii() and sign.isalpha()):
+            tree.add("<")
+            at = tag + 1
             continue
-        if any(n.name == "head" for n in stack[:4]) and name not in HEAD_ONLY:
-            while stack.pop().name != "head":
-                pass
-        closing, walls = CLOSES.get(name, ((), ()))
-        for i in range(len(stack) - 1, 0, -1) if closing else ():
-            if stack[i].name in closing:
-                del stack[i:]
-                break
-            if stack[i].name in walls:
+        m = TAG.match(page, tag)
+        if m is None:
+            if page[tag + 1 : tag + 3].isascii():
                 break
-        if name in PARTS - {"col"} and (i := _bare(stack, name)):  # ends captions, and what was moved out of the table
-            del stack[i + 1 :]
-        elif stack[-1].name == "colgroup" and name != "template":
-            stack.pop()
-        if name == "table" and stack[-1].name in BARE and (i := max((i for i, n in enumerate(stack) if n.name == "table"), default=0)):
-            del stack[i:]
-        node = Node(name, attrs, stack[-1].foreign or name in FOREIGN)
-        if name == "form" and stack[-1].name in BARE:  # holds nothing there; its rows are the table's
-            continue
-        _add(stack, node)
-        if name in VOID or attrs.endswith("/") and (name in ("path", "circle", "rect", "use") or node.foreign):
-            continue
-        if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            inner = page[at : stop.start() if stop else end]
-            node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
-            at = stop.end() if stop else end
+            tree.add("<")  # </ before a letter that is none of ASCII
+            at = tag + 1
             continue
-        stack.append(node)
-    return root
+        at, name = m.end(), m[2].lower()
+        if m[1]:
+            tree.end(name)
+        elif (node := tree.start(name, m[3])) is not None:
+            if name in RAW and not node.foreign:
+                stop = _raw_end(name).search(page, at)
+                inner = page[at : stop.start() if stop else end]
+                node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
+                at = stop.end() if stop else end
+            else:
+                tree.push(node)
+    return tree.root
 
 
 def _width(s: str) -> int:
@@ -179,6 +230,12 @@ class _Page:
         self.lines.append((self.indent[: len(self.indent) - len(self.marker)] + self.marker + line).rstrip() if self.marker else (self.indent + line).rstrip())
         self.marker = ""
 
+    def done(self) -> list[str]:
+        """The lines, without empty ones at both ends."""
+        first = next((i for i, s in enumerate(self.lines) if s), len(self.lines))
+        last = next((i for i in range(len(self.lines), first, -1) if self.lines[i - 1]), first)
+        return self.lines[first:last]
+
     def end(self, apart: bool = False) -> None:
         if self.line.strip():
             self.put(self.line.rstrip())
@@ -186,7 +243,7 @@ class _Page:
         self.blank |= apart
 
 
-def _cells(node: Node) -> list[list[Node]]:
+def _rows(node: Node) -> list[list[Node]]:
     """Rows of cells of a table, those of its sections included and those of inner tables left alone."""
     rows: list[list[Node]] = []
     todo = list(reversed(node.children))
@@ -198,50 +255,112 @@ def _cells(node: Node) -> list[list[Node]]:
             rows.append([c for c in n.children if not isinstance(c, str) and c.name in ("td", "th") and not c.hidden()])
         elif n.name in ("td", "th"):
             rows.append([n])
-        elif n.name != "table":
+        elif n.name not in ("table", "caption"):
             todo += reversed(n.children)
     return rows
 
 
-def _span(cell: Node) -> int:
-    n = cell.attrs.get("colspan", "1")
-    return min(max(int(n), 1), 100) if n.isascii() and n.isdigit() else 1
-
-
-def _table(node: Node, out: _Page) -> None:
+def _span(cell: Node, name: str, most: int) -> int:
+    n = cell.attrs.get(name, "1").strip()
+    return min(int(n), most) if n.isascii() and n.isdigit() and len(n) < 9 else 1
+
+
+def _grid(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """(first column, column after the last, cell) of each row's cells; columns that cells of earlier rows reach down to are passed over."""
+    out, held = [], []  # held: (first column, column after the last, first row that is free)
+    for r, cells in enumerate(rows):
+        held = sorted(h for h in held if h[2] > r)
+        row, column, k = [], 0, 0
+        more = []
+        for cell in cells:
+            while k < len(held) and held[k][0] <= column:
+                column = max(column, held[k][1])
+                k += 1
+            after = column + max(_span(cell, "colspan", COLSPAN), 1)
+            row.append((column, after, cell))
+            down = _span(cell, "rowspan", ROWSPAN) or ROWSPAN
+            if down > 1:
+                if more and more[-1][1] == column and more[-1][2] == r + down:
+                    more[-1] = (more[-1][0], after, r + down)
+                else:
+                    more.append((column, after, r + down))
+            column = after
+        held += more
+        out.append(row)
+    return out
+
+
+def _table(node: Node, out: _Page, seen: bool):
+    """Writes a table. Yields what is to be rendered first: (node, page, whether it is seen)."""
     out.end(True)
     for c in node.children:
         if not isinstance(c, str) and c.name == "caption" and not c.hidden():
-            _render(c, out)
+            yield c, out, c.visible(seen)
             out.end()
+    grid = _grid(_rows(node))
+    if all(len(row) < 2 for row in grid):  # nothing to align
+        for row in grid:
+            for _, _, c in row:
+                yield c, out, c.visible(seen)
+                out.end()
+        out.end(True)
+        return
     rows = []
-    for cells in _cells(node):
-        row: list[list[str]] = []
-        for c in cells:
-            row += [render(c).split("\n"), *[[""]] * (_span(c) - 1)]
-        if any(any(lines) for lines in row):
-            rows.append(row)
-    widths = [max((_width(s) for row in rows if i < len(row) for s in row[i]), default=0) for i in range(max(map(len, rows), default=0))]
-    for row in rows:
-        for k in range(max(map(len, row))):
-            parts = [(lines[k] if k < len(lines) else "") for lines in row]
-            out.put("  ".join(s + " " * (w - _width(s)) for s, w in zip(parts, widths, strict=False)).rstrip())
+    for row in grid:
+        cells = []
+        for first, after, c in row:
+            page = _Page()
+            yield c, page, c.visible(seen)
+            page.end()
+            cells.append((first, after, page.done()))
+        if any(any(lines) for _, _, lines in cells):
+            rows.append(cells)
+    used = sorted({first for cells in rows for first, _, _ in cells})
+    index = {c: i for i, c in enumerate(used)}
+    width, wide = [0] * len(used), []
+    for cells in rows:
+        for first, after, lines in cells:
+            i, j = index[first], bisect_left(used, after)
+            need = max(map(_width, lines), default=0)
+            if j - i > 1:
+                wide.append((j - i, i, j, need))
+            else:
+                width[i] = max(width[i], need)
+    for _, i, j, need in sorted(set(wide)):  # what spans columns widens the first of them
+        others = sum(w + 2 for w in width[i + 1 : j] if w)
+        width[i] = max(width[i], need - others)
+    offset, upto = [], 0
+    for w in width:
+        offset.append(upto)
+        upto += w + 2 if w else 0
+    for cells in rows:
+        for k in range(max(len(lines) for _, _, lines in cells)):
+            line, at = [], 0
+            for first, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    start = offset[index[first]]
+                    line += [" " * (start - at), lines[k]]
+                    at = max(start, at) + _width(lines[k])
+            out.put("".join(line).rstrip())
     out.end(True)
 
 
-def _render(top: Node, out: _Page) -> None:
-    """Writes what a node shows. A stack of its own, since pages nest as deep as they like."""
-    todo: list = [("open", top, None)]
+def _render(top: Node, out: _Page, seen: bool):
+    """Writes what a node shows. Yields what is to be rendered first, for tables; a stack of its own otherwise, since pages nest as deep as they like."""
+    todo: list = [("open", top, None, seen)]
     while todo:
-        step, n, more = todo.pop()
+        step, n, more, seen = todo.pop()
         if step == "call":
             n()
             continue
         if isinstance(n, str):
-            out.text(n)
-            continue
-        if n is not top and n.hidden():
+            if seen:
+                out.text(n)
             continue
+        if n is not top:
+            if n.hidden():
+                continue
+            seen = n.visible(seen)
         name = n.name
         if name == "br":
             if out.line.strip():
@@ -252,21 +371,17 @@ def _render(top: Node, out: _Page) -> None:
         elif name == "hr":
             out.end(True)
         elif name == "img":
-            if n.attrs.get("alt"):
+            if n.attrs.get("alt") and seen:
                 out.text(n.attrs["alt"])
         elif name == "table":
-            _table(n, out)
-        elif name == "textarea":
-            out.end()
-            said = _plain(n).removeprefix("\n").rstrip()
-            for line in said.split("\n") if said else ():
-                out.put(line)
-            out.end()
-        elif name == "pre":
-            out.end(True)
-            for line in _plain(n).removeprefix("\n").rstrip("\n").split("\n"):
+            for first in _table(n, out, seen):
+                yield first
+        elif name in ("textarea", "pre"):
+            out.end(name == "pre")
+            said = _plain(n, seen).removeprefix("\n").rstrip("\n" if name == "pre" else None)
+            for line in said.split("\n") if said or name == "pre" else ():
                 out.put(line)
-            out.end(True)
+            out.end(name == "pre")
         else:
             children = n.children
             if name == "details" and "open" not in n.attrs:
@@ -278,64 +393,72 @@ def _render(top: Node, out: _Page) -> None:
                 held = out.indent
                 out.indent = held + " " * len(step_in)
                 if kind:
-                    out.marker = step_in
+                    out.marker = step_in if seen else ""
 
                 def leave(held=held, apart=name == "blockquote"):
                     out.end(apart)
                     out.indent, out.marker = held, ""
 
-                todo.append(("call", leave, None))
+                todo.append(("call", leave, None, seen))
             elif block:
                 inner = name in ("ul", "ol") and out.indent.endswith(" ")
                 out.end(name in APART and not inner)
-                todo.append(("call", lambda a=name in APART and not inner: out.end(a), None))
+                todo.append(("call", lambda a=name in APART and not inner: out.end(a), None, seen))
             count = int(n.attrs["start"]) if name == "ol" and re.fullmatch(r"-?\d{1,9}", n.attrs.get("start", "")) else 1
             steps = []
             for c in children:
                 mark = None
                 if not isinstance(c, str) and c.name == "li" and not c.hidden():
-                    mark, count = (f"{count}. ", count + 1) if name == "ol" else ("- ", count)
-                steps.append(("open", c, mark))
+                    if name == "ol":
+                        count = int(c.attrs["value"]) if re.fullmatch(r"-?\d{1,9}", c.attrs.get("value", "")) else count
+                        mark, count = f"{count}. ", count + 1
+                    else:
+                        mark = "- "
+                steps.append(("open", c, mark, seen))
             todo += reversed(steps)
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node, seen: bool = True) -> str:
     """All visible text of a preformatted element, as it stands."""
-    out, todo = [], [node]
+    out, todo = [], [(node, seen)]
     while todo:
-        n = todo.pop()
+        n, seen = todo.pop()
         if isinstance(n, str):
-            out.append(n)
+            if seen:
+                out.append(n)
         elif n.name == "br":
             out.append("\n")
         elif n is node or not n.hidden():
-            todo += reversed(n.children)
+            seen = seen if n is node else n.visible(seen)
+            todo += [(c, seen) for c in reversed(n.children)]
     return "".join(out).replace("\r\n", "\n")
 
 
 def render(node: Node) -> str:
-    out = _Page()
-    _render(node, out)
-    out.end()
-    return "\n".join(out.lines).strip("\n")
+    """What a tree shows. Tables within tables are rendered first, from a list instead of the interpreter's own stack."""
+    page = _Page()
+    todo = [_render(node, page, True)]
+    while todo:
+        first = next(todo[-1], None)
+        if first is None:
+            todo.pop()
+        else:
+            todo.append(_render(*first))
+    page.end()
+    return "\n".join(page.done())
 
 
 def page_text(page: str | None) -> str:
     """Visible text of a page; of null, an empty text."""
-    if not page:
-        return ""
-    tree = build(page)
-    try:
-        return render(tree)
-    except RecursionError:  # hundreds of tables within one another: their text, without alignment
-        return SPACE.sub(" ", _plain(tree)).strip()
+    return render(build(page)) if page else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: id, url, text string, n_chars long (code points of text).
 
     Defined cases: null and empty pages give an empty text; null and repeated ids stay as they are; broken markup gives
-    what a browser would make of it, as far as the tree rules go; tables of tables are rendered inside out; an empty
+    what a browser would make of it, as far as the tree rules go: a tag that never ends hides the rest; tables of tables are rendered inside out, to any depth; cells reach
+    over rows and columns as they say, within HTML's own bounds (65,534 and 1,000); pages of any length take time in proportion; an empty
     table gives no rows; other columns are not read.
     """
 

@@ -12,7 +12,7 @@ def test_ordered_and_nested_lists():
 
 def test_tables_align():
     page = "<table><caption>C</caption><tr><th>Name<th>N<tr><td>ab<td>10<tr><td colspan=2>wide cell here</table>"
-    assert page_text(page) == "C\nName            N\nab              10\nwide cell here"
+    assert page_text(page) == "C\nName        N\nab          10\nwide cell here"
 
 
 def test_pre_entities_and_unclosed():
