@@ -3,8 +3,8 @@
 A vocabulary learned from text needs few tokens for what people write and many for what a generator wrote. Runs of
 letters, digits and signs that take a token for every one or two characters, though they mix kinds of characters as
 keys do, are reported besides the patterns' matches. Digests and identifiers are of that kind too but no secrets; they are
-told by their form and left out. So are runs under 12 characters, and letters of one case alone: words that a vocabulary
-hardly knows take as many tokens as random letters do.
+told by their form and left out. Letters of one case alone have to be longer and have a lower ratio: words that a vocabulary
+hardly knows take nearly as many tokens as random letters do. All bounds are parameters.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +30,8 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-LEAST = 12
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Runs with the punctuation of passwords in them, what may end a sentence or frame a word, and what parts them.
-MIXED = re.compile(rf"[A-Za-z0-9+/_=.!?@#$%^&*~-]{{{LEAST},}}")
+#: Runs, runs with the punctuation of passwords in them, what may end a sentence or frame a word, and what parts them.
+PLAIN, MIXED = r"[A-Za-z0-9+/_=-]{{{},}}+", r"[A-Za-z0-9+/_=.!?@#$%^&*~-]{{{},}}+"
 EDGE = ".!?@#$%^&*~"
 PART = re.compile(rf"[{re.escape(EDGE)}]+")
 #: Forms of digests (md5, sha-1, sha-224, sha-256, sha-384, sha-512 in hex, and the prefixed forms of lock files) and of identifiers.
@@ -58,63 +58,77 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(run: str) -> bool:
-    """Whether a run has a form that is no secret's: a digest, an identifier, or words and numbers."""
-    kinds = sum((any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run)))
-    return kinds < 2 or any(form.match(run) for form in (DIGEST, UUID, WORDS))
-
-
-def random_spans(text: str, taken: list[tuple[int, int, str]], encoder, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates under `ratio` characters a token that mix letters and digits or cases, are of no known form and touch no span taken.
-
-    A run with punctuation counts as a whole if one of its parts is of no known form, and by its runs without punctuation otherwise.
-    """
-    out = []
-
-    def add(start: int, end: int) -> bool:
-        run = text[start:end]
-        free = not any(s < end and start < e for s, e, _ in taken)
-        if free and len(run) < ratio * len(encoder.encode_ordinary(run)):
-            out.append((start, end, "random"))
-            return True
-        return False
-
-    for m in MIXED.finditer(text):
-        start, end = m.span()
-        core = m[0].strip(EDGE)
-        if len(core) >= LEAST:
-            start += m[0].index(core)
-            end = start + len(core)
-        whole = text[start:end]
-        parts = [p for p in PART.split(whole) if p]
-        if PART.search(whole) and not whole.startswith("//") and not all(map(_known, parts)) and add(start, end):
-            continue
-        for c in CANDIDATE.finditer(text, start, end):
-            if not _known(c[0]):
-                add(*c.span())
-    return out
+class Scan:
+    """The method's bounds: characters a token that random runs stay under, their least length, and both for letters of one case alone."""
+
+    def __init__(self, encoder, ratio: float = 2.2, least: int = 8, one_case_ratio: float = 1.9, one_case_least: int = 20):
+        self.encoder, self.ratio, self.least, self.one_case = encoder, ratio, least, (one_case_ratio, one_case_least)
+        self.plain, self.mixed = re.compile(PLAIN.format(least)), re.compile(MIXED.format(least))
+
+    def known(self, run: str) -> bool:
+        """Whether a run has a form that is no secret's: a digest, an identifier, words and numbers, or a short word."""
+        if run.isalpha() and (run.islower() or run.isupper()):
+            return len(run) < self.one_case[1]
+        kinds = sum((any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run)))
+        return kinds < 2 or any(form.match(run) for form in (DIGEST, UUID, WORDS))
+
+    def random(self, run: str) -> bool:
+        ratio = self.one_case[0] if run.isalpha() and (run.islower() or run.isupper()) else self.ratio
+        return len(run) < ratio * len(self.encoder.encode_ordinary(run))
+
+    def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Runs that are random, of no known form, and touch no span taken.
+
+        A run with punctuation counts as a whole if one of its parts is of no known form, and by its runs without punctuation otherwise.
+        """
+        out = []
+        starts = sorted(taken)  # spans of different kinds may overlap; the furthest end so far tells whether one reaches a place
+        ends = list(accumulate((e for _, e, _ in starts), max))
+        begins = [s for s, _, _ in starts]
+
+        def add(start: int, end: int) -> bool:
+            before = bisect_left(begins, end)
+            if (before == 0 or ends[before - 1] <= start) and self.random(text[start:end]):
+                out.append((start, end, "random"))
+                return True
+            return False
+
+        for m in self.mixed.finditer(text):
+            start, end = m.span()
+            core = m[0].strip(EDGE)
+            if len(core) >= self.least:
+                start += m[0].index(core)
+                end = start + len(core)
+            whole = text[start:end]
+            parts = [p for p in PART.split(whole) if p]
+            if PART.search(whole) and not whole.startswith("//") and not all(map(self.known, parts)) and add(start, end):
+                continue
+            for c in self.plain.finditer(text, start, end):
+                if not self.known(c[0]):
+                    add(*c.span())
+        return out
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def find_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = 2.2) -> DataFrame:
+def find_secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """One row per row of `docs`: id, n_assign, n_access, n_hex, n_random long, base_sha256, spans string.
 
     spans lists kind:start:end of all spans in code points, end exclusive, by start and then kind; base_sha256 is of the list
-    of base spans alone. A span is a pattern's whole match. `path` is a tiktoken vocabulary that executors can read; a run is random
-    with fewer than `ratio` characters a token. Defined cases: null texts count as empty, which have no spans; null and
+    of base spans alone. A span is a pattern's whole match. `path` is a tiktoken vocabulary that executors can read; a run of 8 characters
+    and more is random with fewer than 2.2 characters a token, letters of one case alone from 20 characters on with fewer than 1.9; `bounds` sets others (see Scan). Defined cases: null texts count as empty, which have no spans; null and
     repeated ids stay as they are; empty tables give no rows; columns other than id and text are not read.
     """
 
     def scan(batches):
-        encoder = _encoder(path)
+        scanner = Scan(_encoder(path), **bounds)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                added = random_spans(text or "", base, encoder, ratio)
+                added = scanner.spans(text or "", base)
                 every = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
                 for col, kind in zip(cols, KINDS, strict=False):
                     col.append(sum(s[2] == kind for s in every))
