@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .template import compile_template
+from .template import TemplateError, _text, compile_template, literals, tree
 
-#: What trainers and models take for structure; none contains the escape sign.
+#: What trainers and models take for structure; none contains the escape sign. Public control strings.
 CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ESCAPE = "\\"
 
@@ -26,18 +26,36 @@ TEMPLATE = (
     "{% else %}{{ m.text | escape }}{% endif %}{{ '<|im_end|>' }}{% endfor %}"
 )
 
-_FIND = re.compile("|".join(map(re.escape, (ESCAPE, *CONTROL))))
-_BACK = re.compile(r"\\(\\|\d+;)")
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.S)
 
 
-def escape(value: str | None) -> str:
-    r"""Each control string becomes \N; with its number N, each \ becomes \\."""
-    return _FIND.sub(lambda m: ESCAPE * 2 if m[0] == ESCAPE else f"{ESCAPE}{CONTROL.index(m[0])};", value or "")
+class Escape:
+    r"""Each control string becomes \N; with its number N, each \ becomes \\. Numbers of `more` strings follow those of CONTROL."""
 
+    def __init__(self, *more: str):
+        self.marks = [*CONTROL, *dict.fromkeys(m for m in more if m not in CONTROL)]
+        if any(ESCAPE in m for m in self.marks):
+            raise TemplateError("marks can't hold the escape sign")
+        # The longest first, so that a mark within another one is no hindrance.
+        self.find = re.compile("|".join(map(re.escape, (ESCAPE, *sorted(self.marks, key=len, reverse=True)))))
+        self.back = re.compile(r"\\(\\|\d+;)")
+        self.number = {m: i for i, m in enumerate(self.marks)}
 
-def unescape(value: str) -> str:
-    return _BACK.sub(lambda m: ESCAPE if m[1] == ESCAPE else CONTROL[int(m[1][:-1])], value)
+    def __call__(self, value: str | None) -> str:
+        return self.find.sub(lambda m: ESCAPE * 2 if m[0] == ESCAPE else f"{ESCAPE}{self.number[m[0]]};", value or "")
+
+    def undo(self, value: str) -> str:
+        return self.back.sub(lambda m: ESCAPE if m[1] == ESCAPE else self.marks[int(m[1][:-1])], value)
+
+    @classmethod
+    def of(cls, template: str) -> Escape:
+        """With the template's own marks: its texts of three characters and more, without white space at their ends."""
+        told = literals(tree(template, {"escape": lambda v: _text(v)}))
+        return cls(*[m.strip() for m in told if len(m.strip()) > 2 and m.strip() not in {c + d for c in CONTROL for d in CONTROL}])
+
+
+escape = Escape()
+unescape = escape.undo
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -58,12 +76,12 @@ def format_chats(turns: DataFrame, template: str = TEMPLATE, conv_col: str = "co
 
     Turns go by number, equal numbers by role and then text. Rows meet by conversation and stream in order, so a task
     holds one conversation at a time, which is also what it writes. Defined cases: null texts and roles are empty; a null
-    turn number comes first; rows without conversation id are one conversation; repeated rows are repeated turns; an empty table gives no
+    turn number comes first; the template's own marks are escaped in texts besides CONTROL; rows without conversation id are one conversation; repeated rows are repeated turns; an empty table gives no
     rows; other columns are not read.
     """
 
     def scan(batches):
-        render = compile_template(template, {"escape": escape})
+        render = compile_template(template, {"escape": Escape.of(template)})
         conv: list = []
         started, key = False, None
 
