@@ -1,7 +1,8 @@
-"""Text similarity: n-gram counts as array expressions, and the few kernels that need Python."""
+"""Text similarity: scores from counts as expressions, and the kernels that count, a pair at a time, in time in proportion to its words."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,16 +13,56 @@ from pyspark.sql import types as T
 from .stemming import stem
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """n-grams as texts; an empty array for fewer words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), "\u0001"))
+def _grams(words: list[str], n: int) -> Counter:
+    """n-grams with their numbers; single words stand for themselves."""
+    return Counter(words if n == 1 else zip(*(words[i:] for i in range(n)), strict=False))
 
 
-def clipped_overlap(a: Column, b: Column) -> Column:
-    """Number of elements that two arrays share, each as often as the rarer side has it."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x))).cast("long")
+def overlap_counts(a: list[str], b: list[str], orders: int) -> list[int]:
+    """Of each order, the n-grams that two lists of words share, each as often as the rarer side has it."""
+    out = []
+    for n in range(1, orders + 1):
+        x, y = _grams(a, n), _grams(b, n)
+        if len(y) < len(x):
+            x, y = y, x
+        out.append(sum(min(c, y[g]) for g, c in x.items() if g in y))
+    return out
+
+
+def overlaps(a: Column, b: Column, orders: int) -> Column:
+    """overlap_counts of two arrays of words, an array of `orders` numbers; null words and null arrays count as none."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in pairs:
+            yield pd.Series([overlap_counts(_words(x), _words(y), orders) for x, y in zip(xs, ys, strict=True)])
+
+    return count(a, b)
+
+
+def _words(xs) -> list[str]:
+    return [] if xs is None else [x for x in xs if x is not None]
+
+
+def term_counts(a: list[str], b: list[str], orders: int) -> list[tuple[int, str, int, int]]:
+    """(order, n-gram, its number in a, its number in b) for each n-gram of either."""
+    out = []
+    for n in range(1, orders + 1):
+        x, y = _grams(a, n), _grams(b, n)
+        join = (lambda g: g) if n == 1 else "\u0001".join
+        out += [(n, join(g), x[g], y[g]) for g in x.keys() | y.keys()]
+    return out
+
+
+def terms(a: Column, b: Column, orders: int) -> Column:
+    """term_counts of two arrays of words, an array of (n, g, a, b)."""
+
+    @F.pandas_udf("array<struct<n:int,g:string,a:bigint,b:bigint>>")
+    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, ys in pairs:
+            yield pd.Series([[dict(zip(("n", "g", "a", "b"), t, strict=True)) for t in term_counts(_words(x), _words(y), orders)] for x, y in zip(xs, ys, strict=True)])
+
+    return count(a, b)
 
 
 def bleu(matches: list[Column], totals: list[Column], hyp: Column, ref: Column) -> Column:
@@ -48,39 +89,53 @@ def speed_quality(quality: Column, speed: Column) -> Column:
     return F.when(speed > 0, quality * F.log2(1 + speed)).otherwise(0.0)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in words:
-        yield batch.map(lambda ws: [stem(w) for w in ws])
+def stems(words: Column, longer_than: int = 0) -> Column:
+    """Words by their stems, those of up to `longer_than` letters as they are."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda ws: [stem(w) if len(w) > longer_than else w for w in _words(ws)])
+
+    return cut(words)
 
 
-def _common_length(a: list, b: list) -> int:
-    """Longest common subsequence, in a row of memory."""
-    row = [0] * (len(b) + 1)
+def common_length(a: list, b: list) -> int:
+    """Longest common subsequence, by a row of bits: a step a word of a, whatever the words of b that fit a machine word."""
+    places: dict = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(T.LongType())
 def common_subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([_common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+        yield pd.Series([common_length(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
 
 
-def _meteor(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """Exact matches, then stems, each word once and greedily from the end; fragmentation penalty."""
-    if not len(hyp) or not len(ref):
+def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Exact matches, then stems, each word once; the last word of one form meets the last of that form left on the other side; fragmentation penalty."""
+    if not hyp or not ref:
         return 0.0
-    left_h, left_r, pairs = list(enumerate(hyp)), list(enumerate(ref)), []
+    left_h, left_r, pairs = range(len(hyp)), range(len(ref)), []
     for form in (lambda w: w, stem):
-        for i in range(len(left_h) - 1, -1, -1):
-            for j in range(len(left_r) - 1, -1, -1):
-                if form(left_h[i][1]) == form(left_r[j][1]):
-                    pairs.append((left_h.pop(i)[0], left_r.pop(j)[0]))
-                    break
+        places: dict[str, list[int]] = {}
+        for j in left_r:
+            places.setdefault(form(ref[j]), []).append(j)
+        more = []
+        for i in reversed(left_h):
+            found = places.get(form(hyp[i]))
+            if found:
+                pairs.append((i, found.pop()))
+            else:
+                more.append(i)
+        left_h, left_r = more[::-1], sorted(j for js in places.values() for j in js)
     if not pairs:
         return 0.0
     pairs.sort()
@@ -92,4 +147,4 @@ def _meteor(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.
 @F.pandas_udf(T.DoubleType())
 def meteor(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([_meteor(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+        yield pd.Series([meteor_score(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])

@@ -1,4 +1,7 @@
-"""Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980), for pandas UDFs over a vocabulary."""
+"""Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980), for pandas UDFs over a vocabulary.
+
+These are the rules of 1980, without later extensions (lists of irregular forms, "ies" of four letters, "bli", "logi"). Fixed values: the suffixes.
+"""
 
 from __future__ import annotations
 

@@ -22,11 +22,9 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
 def ngram_counts(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     """keys, m1..m4, t1..t4, h, r: matches and totals by order, and lengths. They add up, so a corpus score is one from their sums."""
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("_h"), tokens(F.col("ref")).alias("_r"))
-    cols = []
-    for n in ORDERS:
-        hyp, ref = sim.ngrams(F.col("_h"), n), sim.ngrams(F.col("_r"), n)
-        cols += [sim.clipped_overlap(hyp, ref).alias(f"m{n}"), F.greatest(F.size("_h") - (n - 1), F.lit(0)).cast("long").alias(f"t{n}")]
-    return rows.select(*keys, *cols, F.size("_h").cast("long").alias("h"), F.size("_r").cast("long").alias("r"))
+    rows = rows.select(*keys, sim.overlaps(F.col("_h"), F.col("_r"), len(ORDERS)).alias("_m"), F.size("_h").cast("long").alias("h"), F.size("_r").cast("long").alias("r"))
+    cols = [c for n in ORDERS for c in (F.get("_m", F.lit(n - 1)).alias(f"m{n}"), F.greatest(F.col("h") - (n - 1), F.lit(0)).alias(f"t{n}"))]
+    return rows.select(*keys, *cols, "h", "r")
 
 
 def bleu_of(prefix: str = "") -> Column:
@@ -43,22 +41,17 @@ def corpus_sums(counts: DataFrame, by: list[str]) -> DataFrame:
 def cider(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     """keys, cider: ten times the cosine of the n-gram weights of both texts, all orders at once.
 
-    Weights are frequencies, by length, times the log of documents over references that have the n-gram. Joins are on key and n-gram.
+    Weights are frequencies, by length, times the log of documents over references that have the n-gram. A kernel gives each pair's
+    n-grams with both counts, so that only the document frequencies need a join; the rest is one aggregate by pair.
     """
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-
-    def grams(side: str) -> DataFrame:
-        named = lambda n: F.transform(sim.ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-        each = F.concat(*map(named, ORDERS))
-        long = rows.select(*keys, F.size(side).alias("len"), F.explode(each).alias("x"))
-        return long.groupBy(*keys, "len", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg((F.count(F.lit(1)) / F.greatest(F.col("len") - F.col("n") + 1, F.lit(1))).alias("tf"))
-
-    refs = grams("r")
-    df = refs.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    each = rows.select(*keys, F.size("h").alias("lh"), F.size("r").alias("lr"), F.inline_outer(sim.terms(F.col("h"), F.col("r"), len(ORDERS))))
+    df = each.where("b > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     total = rows.select(F.count(F.lit(1)).alias("docs"))
-    weighed = lambda x: x.join(df, ["n", "g"], "left").crossJoin(F.broadcast(total)).select(*keys, "n", "g", (F.col("tf") * F.log(F.greatest("docs", F.lit(1)) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))).alias("w"))
-    hyp, ref = weighed(grams("h")), weighed(refs)
-    norm = lambda x, name: x.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dot = hyp.join(ref.withColumnRenamed("w", "w2"), [*keys, "n", "g"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-    out = rows.select(*keys).join(dot, keys, "left").join(norm(hyp, "a"), keys, "left").join(norm(ref, "b"), keys, "left")
-    return out.select(*keys, F.coalesce(F.when(F.col("a") * F.col("b") > 0, 10 * F.col("dot") / (F.col("a") * F.col("b"))), F.lit(0.0)).alias("cider"))
+    idf = F.log(F.greatest("docs", F.lit(1)) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
+    weight = lambda count, length: F.coalesce(F.col(count), F.lit(0)) / F.greatest(F.col(length) - F.col("n") + 1, F.lit(1)) * idf
+    weighed = each.join(df, ["n", "g"], "left").crossJoin(F.broadcast(total)).select(*keys, weight("a", "lh").alias("x"), weight("b", "lr").alias("y"))
+    total_of = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = weighed.groupBy(*keys).agg(total_of(F.col("x") * F.col("y")).alias("dot"), total_of(F.col("x") * F.col("x")).alias("a"), total_of(F.col("y") * F.col("y")).alias("b"))
+    norm = F.sqrt("a") * F.sqrt("b")
+    return sums.select(*keys, F.when(norm > 0, 10 * F.col("dot") / norm).otherwise(0.0).alias("cider"))

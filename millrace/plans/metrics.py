@@ -67,11 +67,12 @@ def rouge12(spark, sf_dir):
 
 @query()
 def rouge_stemmed(spark, sf_dir):
-    """Stems by a kernel in Python, which SQL lacks."""
-    rows = _pairs(spark, sf_dir).select("conv_id", "turn", sim.stems(text.norm_tokens(F.col("hyp"))).alias("h"), sim.stems(text.norm_tokens(F.col("ref"))).alias("r"))
-    common = sim.common_subsequence("h", "r")
-    one = sim.f_score(sim.clipped_overlap(F.col("h"), F.col("r")), F.size("h"), F.size("r"))
-    return rows.select("conv_id", "turn", F.round(one, 6).alias("rouge1"), F.round(sim.f_score(common, F.size("h"), F.size("r")), 6).alias("rouge_l"))
+    """ROUGE-1, 2 and L over stems of words of more than three letters; a kernel in Python, which SQL lacks, and tests compare it with plain Python."""
+    cut = lambda c: sim.stems(text.norm_tokens(F.col(c)), longer_than=3)
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", cut("hyp").alias("h"), cut("ref").alias("r"))
+    rows = rows.select("conv_id", "turn", sim.overlaps(F.col("h"), F.col("r"), 2).alias("m"), sim.common_subsequence("h", "r").alias("c"), F.size("h").alias("h"), F.size("r").alias("r"))
+    two = sim.f_score(F.get("m", F.lit(1)), F.greatest(F.col("h") - 1, F.lit(0)), F.greatest(F.col("r") - 1, F.lit(0)))
+    return rows.select("conv_id", "turn", F.round(sim.f_score(F.get("m", F.lit(0)), F.col("h"), F.col("r")), 6).alias("rouge1"), F.round(two, 6).alias("rouge2"), F.round(sim.f_score(F.col("c"), F.col("h"), F.col("r")), 6).alias("rouge_l"))
 
 
 @query()
@@ -81,6 +82,20 @@ def meteor_pairs(spark, sf_dir):
     return rows.select("conv_id", "turn", F.round(sim.meteor("h", "r"), 6).alias("meteor"))
 
 
+@query()
+def bleu_code_strict(spark, sf_dir):
+    """Stemmed tokens of code, without tolerance for names; tests compare it with plain Python."""
+    cut = lambda c: sim.stems(text.code_tokens(F.col(c))).alias(c)
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", cut("hyp"), cut("ref"))
+    return evaluation.ngram_counts(rows, ["conv_id", "turn"], lambda c: c).select("conv_id", "turn", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
+
+
+@query(f"WITH {_components(_NORM)}, s AS (SELECT conv_id % 2 AS mode, {_SUMS}, sum(hl)::BIGINT AS hl, sum(rl)::BIGINT AS rl FROM comp GROUP BY 1) SELECT mode, m1, t1, m4, t4, round({_bleu()}, 6) AS bleu_norm FROM s")
+def bleu_norm_corpus(spark, sf_dir):
+    counts = evaluation.ngram_counts(_pairs(spark, sf_dir), ["conv_id", "turn"], text.norm_tokens).withColumn("mode", F.col("conv_id") % 2)
+    return evaluation.corpus_sums(counts, ["mode"]).select("mode", "m1", "t1", "m4", "t4", F.round(evaluation.bleu_of(), 6).alias("bleu_norm"))
+
+
 @query()
 def bleu_code(spark, sf_dir):
     """Stemmed tokens of code, where names that the prompt has may be said without loss."""
