@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # File suffixes that are not code.
-NON_CODE = (
-    ".md .mdx .markdown .txt .rst .adoc .html .css .svg .xml .json .yaml .yml .csv .ini .cfg .toml .lock .gitignore .geojson .properties .conf .config .env "
-    ".options .local .production .development .csproj .vbproj .fsproj .vcxproj .classpath .pom .project .factories .template .in .am .sum .mod .ci "
-    ".png .jpg .jpeg .gif .ico .graffle .zip .gz .tar .jar .war .ear .aar .snap .so .dll .exe .bin .dylib .class .o .obj .out .db .sqlite .sqlite3 .avro .parquet "
-    ".data .index .snapshot .jks .p12 .pem .crt .key .pub .sha1 .xls .xlsx .pdf .xsd .xsl .pbxproj .xcscheme .jmx "
-    ".android_arm64 .android_armv7 .arm64 .armv6 .armv7 .amzn_linux_cpu .ubuntu .ubuntu1404_cuda75_cudnn5 .jetson .ubuntu_cpu .ubuntu_gpu .ubuntu_build_cuda "
-    ".agentpluginbootservice .baseflinksource .basesink .basesource .basetransform .basestructuredstreaminginput .basestructuredstreamingoutput "
-    ".basestructuredstreamingoutputintra .basecommand .datasourcemapconverter .databasediscoverytype .dispatcher .handlers .java17 .mlformatregister .mockmaker .pmml "
-    ".privilegeloader .privilegeloadalgorithm .protobufserde .provides .rpcfilter .schemas .shardingtransactionhandler .timeservice .transactionmanager .transformer "
-    ".yamlruleconfigurationswapper .part .9-snapshot .12-snapshot .16-snapshot .6-global-window-serializer-data .6-global-window-serializer-snapshot "
-    ".6-time-window-serializer-data .6-time-window-serializer-snapshot .7-global-window-serializer-data .7-global-window-serializer-snapshot "
-    ".7-time-window-serializer-data .7-time-window-serializer-snapshot .1 .2 .3 .4 .5 .6 .7 .8 .9 .explain .commands .factory .tdd .base .jenkinsfile .rules .tmpl"
-).split()
+NON_CODE = [
+    ".md", ".mdx", ".markdown", ".txt", ".rst", ".adoc", ".html", ".css", ".svg", ".xml", ".json", ".yaml", ".yml", ".csv", ".ini", ".cfg", ".toml", ".lock", ".gitignore", ".geojson",
+    ".properties", ".conf", ".config", ".env", ".options", ".local", ".production", ".development", ".csproj", ".vbproj", ".fsproj", ".vcxproj", ".classpath", ".pom", ".project",
+    ".factories", ".template", ".in", ".am", ".sum", ".mod", ".ci", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".graffle", ".zip", ".gz", ".tar", ".jar", ".war", ".ear", ".aar", ".snap",
+    ".so", ".dll", ".exe", ".bin", ".dylib", ".class", ".o", ".obj", ".out", ".db", ".sqlite", ".sqlite3", ".avro", ".parquet", ".data", ".index", ".snapshot", ".jks", ".p12", ".pem",
+    ".crt", ".key", ".pub", ".sha1", ".xls", ".xlsx", ".pdf", ".xsd", ".xsl", ".pbxproj", ".xcscheme", ".jmx", ".android_arm64", ".android_armv7", ".arm64", ".armv6", ".armv7",
+    ".amzn_linux_cpu", ".ubuntu", ".ubuntu1404_cuda75_cudnn5", ".jetson", ".ubuntu_cpu", ".ubuntu_gpu", ".ubuntu_build_cuda", ".agentpluginbootservice", ".baseflinksource", ".basesink",
+    ".basesource", ".basetransform", ".basestructuredstreaminginput", ".basestructuredstreamingoutput", ".basestructuredstreamingoutputintra", ".basecommand", ".datasourcemapconverter",
+    ".databasediscoverytype", ".dispatcher", ".handlers", ".java17", ".mlformatregister", ".mockmaker", ".pmml", ".privilegeloader", ".privilegeloadalgorithm", ".protobufserde", ".provides",
+    ".rpcfilter", ".schemas", ".shardingtransactionhandler", ".timeservice", ".transactionmanager", ".transformer", ".yamlruleconfigurationswapper", ".part", ".9-snapshot", ".12-snapshot",
+    ".16-snapshot", ".6-global-window-serializer-data", ".6-global-window-serializer-snapshot", ".6-time-window-serializer-data", ".6-time-window-serializer-snapshot",
+    ".7-global-window-serializer-data", ".7-global-window-serializer-snapshot", ".7-time-window-serializer-data", ".7-time-window-serializer-snapshot", ".1", ".2", ".3", ".4", ".5", ".6",
+    ".7", ".8", ".9", ".explain", ".commands", ".factory", ".tdd", ".base", ".jenkinsfile", ".rules", ".tmpl",
+]
 # Languages by suffix.
 LANGUAGES = {
     ".py": "Python", ".java": "Java", ".scala": "Scala", ".kt": "Kotlin", ".groovy": "Groovy", ".js": "JavaScript", ".ts": "TypeScript",

@@ -39,6 +39,9 @@ def squeeze(c: Column) -> Column:
     return strip(drop(c, r"\s+", by=" "))
 
 
+# The patterns of the three cleanings are fixed values: labels have to come out the same.
+
+
 def clean_label(c: Column) -> Column:
     """Without addresses, bare domains, ticket keys and numbers after #."""
     c = drop(c, r"https?://\S+")
@@ -128,6 +131,19 @@ def identifiers(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b"), F.lit(0)), F.lower))
 
 
+def file_stem(path: Column) -> Column:
+    """A path's last part without its last suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def task_identifiers(contents: Column, files: Column) -> Column:
+    """Distinct names in all messages of a task, and its files' stems with those of their parts that have more than two letters, all lower-cased."""
+    said = F.flatten(F.transform(contents, identifiers))
+    stems = F.transform(files, file_stem)
+    parts = F.flatten(F.transform(stems, lambda s: F.filter(F.split(F.lower(split_identifiers(s)), r"\s+"), lambda w: F.length(w) > 2)))
+    return F.array_distinct(F.concat(said, F.transform(stems, F.lower), parts))
+
+
 def word_count(c: Column) -> Column:
     return F.size(tokens(c)).cast("long")
 
@@ -150,3 +166,9 @@ def config_name(bs: Column, sbs: Column, th: Column, cache: Column, batch: Colum
     """The name of a run's folder, which tells its parameters."""
     flag = F.when(cache, F.lit("True")).otherwise(F.lit("False"))
     return F.concat(F.lit("bs"), bs, F.lit("_sbs"), sbs, F.lit("_th"), th.cast("string"), F.lit("_cache"), flag, F.lit("_batch"), batch, F.lit("_mnt"), mnt)
+
+
+def two_step_name(bs: Column, sbs: Column, th: Column, summary: Column, answer: Column) -> Column:
+    """The name of a two-step run's folder; the threshold has one place, without a trailing zero."""
+    short = F.regexp_replace(F.format_string("%.1f", th), r"\.0$", "")
+    return F.concat(F.lit("bs"), bs, F.lit("_sbs"), sbs, F.lit("_th"), short, F.lit("_smnt"), summary, F.lit("_cmnt"), answer)

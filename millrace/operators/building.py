@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import diffs, text
@@ -20,14 +21,14 @@ def with_reason(df: DataFrame, gates: list[tuple[str, Column]]) -> DataFrame:
 
 
 def reject_report(df: DataFrame, id_col: str, examples: int) -> DataFrame:
-    """(reason, n, examples): rejects by reason, with the first ids. Candidates are cut to `examples` a task and reason before they move."""
+    """(reason, n, examples): rejects by reason, with the first ids. Candidates are cut to `examples` a task and reason before they move (WindowGroupLimit)."""
     rejects = df.where("reason IS NOT NULL").select("reason", id_col)
-    counts = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), *[F.min(id_col).alias("_1")])
-    found = counts.select("reason", "n", F.array("_1").alias("_ids"))
-    for _ in range(examples - 1):
-        more = rejects.join(F.broadcast(found), "reason").where(F.col(id_col) > F.element_at("_ids", -1)).groupBy("reason").agg(F.min(id_col).alias("_next"))
-        found = found.join(more, "reason", "left").select("reason", "n", F.when(F.col("_next").isNull(), F.col("_ids")).otherwise(F.array_append("_ids", F.col("_next"))).alias("_ids"))
-    return found.select("reason", "n", F.array_join(F.transform("_ids", lambda i: i.cast("string")), ",").alias("examples"))
+    counts = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("reason").orderBy(F.col(id_col).asc_nulls_last()))
+    first = rejects.withColumn("_p", place).where(F.col("_p") <= examples).where(F.col(id_col).isNotNull())
+    listed = first.groupBy("reason").agg(F.array_sort(F.collect_list(F.struct("_p", F.col(id_col).alias("_i")))).alias("_ids"))
+    ids = F.transform(F.coalesce("_ids", F.array().cast(listed.schema["_ids"].dataType)), lambda x: x["_i"].cast("string"))
+    return counts.join(listed, "reason", "left").select("reason", "n", F.array_join(ids, ",").alias("examples"))
 
 
 def messages(df: DataFrame, conv: str, turn: str, role: str, said: str) -> DataFrame:

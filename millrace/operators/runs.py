@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def _keep(df: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
     row = pick(F.struct(*df.columns), F.col(order)).alias("_r")
@@ -49,9 +50,8 @@ def first_of_sources(*frames: DataFrame, key: str) -> DataFrame:
 
 
 def batches(df: DataFrame, group: str, length: str, order: str, size: int) -> DataFrame:
-    """(group, batch, n, longest, padding): items sorted by length in batches of `size`; padding is what is missing to the longest."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(length, order))
-    cut = df.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    """(group, batch, n, longest, padding): items sorted by length in batches of `size`; padding is what is missing to the longest. A group may be any part of the rows."""
+    cut = running(df.select(group, length, order), [group], [F.col(length), F.col(order)]).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long"))
     waste = (F.max(length) * F.count(F.lit(1)) - F.sum(length)).alias("padding")
     return cut.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), waste)
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
 from .runs import batches, effective_tokens
 
 
 def diverse_top(df: DataFrame, stratum: str, repo: str, score: str, order: str, k: int) -> DataFrame:
-    """k rows a stratum: each repo's best in order of score, then the rest by score. No repo has more than its k best to offer."""
+    """k rows a stratum: each repo's best in order of score, then the rest by score. No repo has more than its k best to offer.
+
+    Both windows keep ranks up to k only, which Spark cuts to in each task before rows move (WindowGroupLimit), so that a hot stratum sends k rows a task.
+    """
     by_repo = W.partitionBy(stratum, repo).orderBy(F.desc(score), order)
     best = df.withColumn("_rr", F.row_number().over(by_repo)).where(F.col("_rr") <= k)
     place = F.row_number().over(W.partitionBy(stratum).orderBy(F.desc(F.col("_rr") == 1), F.desc(score), order))
@@ -20,13 +24,14 @@ def diverse_top(df: DataFrame, stratum: str, repo: str, score: str, order: str,
 def quota_pick(df: DataFrame, stratum: str, repo: str, score: str, order: str, quota: Column) -> DataFrame:
     """Up to `quota` rows a stratum by score; until half is chosen only repos not chosen yet.
 
-    Once half the quota is full of new repos the rule is open for all, so "seen so far" is a running count of first rows.
+    Once half the quota is full of new repos the rule is open for all, so "seen so far" is a running count of first rows. Places and
+    counts come from sorted ranges, so a stratum, or a repo, may be any part of the rows.
     """
-    first = df.withColumn("_first", F.row_number().over(W.partitionBy(stratum, repo).orderBy(F.desc(score), order)) == 1)
-    run = W.partitionBy(stratum).orderBy(F.desc(score), order)
-    seen = F.coalesce(F.sum(F.col("_first").cast("int")).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    open_for = first.withColumn("_seen", seen).where(F.col("_first") | (F.col("_seen") >= F.floor(quota / 2)))
-    return open_for.withColumn("k", F.row_number().over(run)).where(F.col("k") <= quota).drop("_first", "_seen")
+    rank = [F.col(score).desc(), F.col(order)]
+    first = running(df, [stratum, repo], rank, "_nth").withColumn("_first", F.col("_nth") == 1)
+    seen = running(first, [stratum], rank, "_at", {"_upto": F.col("_first").cast("long")})
+    open_for = seen.where(F.col("_first") | (F.col("_upto") - F.col("_first").cast("long") >= F.floor(quota / 2)))
+    return running(open_for, [stratum], rank, "k").where(F.col("k") <= quota).drop("_nth", "_first", "_at", "_upto")
 
 
 def quotas(df: DataFrame, stratum: str, slots: int, least: int = 5, many: int = 4, boost: float = 1.5) -> DataFrame:
@@ -66,17 +71,24 @@ def evaluation_score(words: Column, length: Column, n: Column, label_chars: Colu
 def nearest(df: DataFrame, value: str, order: str, targets: list[int], k: int) -> DataFrame:
     """(target, order, k): up to k rows a target, no row twice. Small targets want equality; larger ones allow 0.3 of themselves, at least 2.
 
-    Targets take turns, in rising order, each from what those before have left; there are a dozen at most.
+    Targets take turns, in rising order, each from what those before have left. As those take k rows each, the first k times its turn
+    rows of a target hold all that it can get: one pass cuts to these, and the turns are taken on that small rest.
     """
-    taken, out = None, None
-    for t in sorted(targets):
-        fits = F.col(value) == t if t <= 5 else F.abs(F.col(value) - t) <= max(0.3 * t, 2)
-        left = df.where(fits) if taken is None else df.where(fits).join(taken.select(order), order, "left_anti")
-        best = left.orderBy(F.abs(F.col(value) - t), F.desc(value), order).limit(k)
-        got = best.select(F.lit(t).alias("target"), order, F.row_number().over(W.orderBy(F.abs(F.col(value) - t), F.desc(value), order)).alias("k"))
-        out = got if out is None else out.unionByName(got)
-        taken = out
-    return out
+    targets = sorted(targets)
+    distance = lambda t: F.abs(F.col(value) - t)
+    fits = lambda t: F.col(value) == t if t <= 5 else distance(t) <= max(0.3 * t, 2)
+    offers = F.filter(F.array(*[F.when(fits(t), F.struct(F.lit(i).alias("turn"), F.lit(t).alias("target"), distance(t).alias("d"))) for i, t in enumerate(targets)]), lambda x: x.isNotNull())
+    each = df.select(F.col(value).alias("v"), F.col(order).alias("id"), F.inline(offers))
+    place = F.row_number().over(W.partitionBy("turn").orderBy("d", F.desc("v"), "id"))
+    rows = each.withColumn("p", place).where(F.col("p") <= k * len(targets)).orderBy("turn", "p").select("turn", "target", "id").collect()
+    taken, out, got = set(), [], {}
+    for r in rows:
+        if r["id"] not in taken and got.get(r["turn"], 0) < k:
+            taken.add(r["id"])
+            got[r["turn"]] = got.get(r["turn"], 0) + 1
+            out.append((r["target"], r["id"], got[r["turn"]]))
+    kind = df.schema[order].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"target int, `{order}` {kind}, k int")
 
 
 def cap_grid(df: DataFrame, id_col: str, chars: str, tokens: str, caps: list[int], size: int, overhead: int) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import diffs, text
 from ..operators import stats
 from .catalog import query, table
 
+#: The limits of a report's buckets.
 BUCKETS = ((1_000, "0-1k"), (5_000, "1k-5k"), (10_000, "5k-10k"), (50_000, "10k-50k"), (None, "50k+"))
 
 
@@ -67,17 +68,8 @@ def split_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.squeeze(text.split_identifiers(name)).alias("parts"))
 
 
-@query("""WITH t AS (SELECT doc_id, 'Contributed by John Doe. (Reviewed by Jane) [x] fix-up/`it`; a ' || substr(replace(text, chr(10), ' '), 1, 60) AS s FROM documents WHERE lang = 'en'),
-a AS (SELECT doc_id, regexp_replace(s, '[Cc]ontributed\\s+by\\s+[A-Z][a-zA-Z]+(\\s+[A-Z][a-zA-Z]+)+\\.?', '', 'g') AS s FROM t),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\(\\s*[A-Z][a-zA-Z][^)]*\\)', '', 'g'), '[(){}\\[\\]]', ' ', 'g'), '[-/#]+', ' ', 'g'), '["`'';,*]+', ' ', 'g') AS s FROM a)
-SELECT doc_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(s, '\\s+', ' ', 'g')), '\\b[a-zA-Z]\\b', '', 'g'), '\\s+', ' ', 'g')) AS label FROM b""")
-def normalize_labels(spark, sf_dir):
-    said = F.concat(F.lit("Contributed by John Doe. (Reviewed by Jane) [x] fix-up/`it`; a "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.normalize_label(said).alias("label"))
-
-
 @query()
-def normalize_label_texts(spark, sf_dir):
+def normalize_labels(spark, sf_dir):
     """The rules on whole texts of all documents. DuckDB's word bounds are ASCII's, so tests compare it with Python's."""
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_label(F.col("text")).alias("label"))
 

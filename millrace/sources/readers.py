@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import runs
 
+#: The fields of records.
 MESSAGES = "array<struct<role:string,content:string>>"
 COMMITS = "owner string, repo string, commit_sha string, diff string, message string, files array<string>, author string, date string, loc bigint"
 TASKS = f"task_id string, messages {MESSAGES}, label string, files array<string>, diff_length bigint, context_length bigint"
@@ -17,9 +21,7 @@ RESULTS = (
     "stats struct<prompt_tokens:bigint,generated_tokens:bigint,batch_wall_seconds:double,batch_size:bigint,batch_total_tokens:bigint,batch_total_steps:bigint,batch_tokens_per_second:double,"
     "tokens_per_second:double,effective_ms_per_token:double,ms_per_token:double,tokens_per_step:double,wall_seconds:double,prefill_seconds:double>, error string, traceback string"
 )
-#: Largest summary that is read through the driver.
-SUMMARY_BYTES = 64 << 20
-#: A run's parameters in the name of its folder.
+#: A run's parameters in the name of its folder. A fixed value.
 RUN_NAME = r"bs(\d+)_sbs(\d+)_th([0-9.]+)_cache(True|False)_batch(\d+)_mnt(\d+)"
 
 
@@ -49,18 +51,26 @@ def _exists(spark: SparkSession, path: str) -> tuple[bool, bool]:
     return fs.exists(p), fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def _hidden_lines(spark: SparkSession, path: str) -> list[str] | None:
-    """Lines of a small file whose name Spark's readers hide; None if it isn't there or isn't small, and the folder's documents are to be read."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or fs.getFileStatus(p).getLen() > SUMMARY_BYTES:
+def _under_a_plain_name(spark: SparkSession, path: str) -> str | None:
+    """A copy of a file whose name Spark's readers hide, in the session's shared folder, until the session ends; None if the file isn't there.
+
+    The copy is streamed from file system to file system, whatever its size.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    there = source.getFileSystem(conf)
+    if not there.exists(source):
         return None
-    stream = fs.open(p)
-    try:
-        return [x for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n") if x.strip()]
-    finally:
-        stream.close()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/summary-{uuid.uuid4().hex}.jsonl")
+    here = target.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(there, source, here, target, False, conf)
+    here.deleteOnExit(target)
+    return target.toString()
 
 
 def results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
@@ -70,10 +80,9 @@ def results(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
         return spark.createDataFrame([], schema)
     if not folder:
         return jsonl(spark, path, schema, "drop")
-    lines = _hidden_lines(spark, f"{path}/_results_summary.jsonl")
-    if lines is not None:
-        found = spark.createDataFrame([(x,) for x in lines], "value string").select(F.from_json("value", schema).alias("r"))
-        return found.select("r.*").where("task_id IS NOT NULL")
+    summary = _under_a_plain_name(spark, f"{path}/_results_summary.jsonl")
+    if summary is not None:
+        return jsonl(spark, summary, schema, "drop").where("task_id IS NOT NULL")
     return json_folder(spark, path, schema, recursive=True).drop("file")
 
 

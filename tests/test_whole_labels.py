@@ -24,8 +24,8 @@ def normalized(t):
     return re.sub(r"\s+", " ", t).strip()
 
 
-def test_normalize_label_texts(spark, sf_dir):
-    got = {r.doc_id: r.label for r in QUERIES["normalize_label_texts"](spark, sf_dir[0]).collect()}
+def test_normalize_labels(spark, sf_dir):
+    got = {r.doc_id: r.label for r in QUERIES["normalize_labels"](spark, sf_dir[0]).collect()}
     assert got == {i: t if t is None else normalized(t) for i, t in sf_dir[1].items()}
 
 
