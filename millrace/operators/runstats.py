@@ -160,3 +160,30 @@ def guarded(df: DataFrame, work: Callable[[dict], dict], stats: str) -> DataFram
             yield pd.concat([batch, told], axis=1)
 
     return df.mapInPandas(scan, schema)
+
+
+def best_in_row(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with `best`, the names of the columns that hold the row's largest value; none where all are null."""
+    top = F.greatest(*columns)
+    return df.withColumn("best", F.filter(F.array(*[F.when(F.col(c) == top, F.lit(c)) for c in columns]), lambda c: c.isNotNull()))
+
+
+def preservation(said: Column, names: Column) -> Column:
+    """The share of names that a text says; null without names."""
+    return F.when(F.size(names) > 0, F.size(F.array_intersect(said, names)) / F.size(names))
+
+
+def bootstrap_means(df: DataFrame, key: str, difference: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, mean) of `draws` resamples of paired differences. Each row counts in a draw as often as a Poisson number that a hash
+    of its key and the draw gives, so that a resample needs no row numbers, reruns agree, and one aggregate makes all draws.
+    """
+    chance = (F.pmod(F.xxhash64(F.col(key), "draw", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # P(number <= k) of a Poisson variable of mean 1, up to what a double can tell from 1.
+    steps, term, total = [], 2.718281828459045**-1, 0.0
+    for k in range(18):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    times = sum((F.when(F.col("_c") > s, 1).otherwise(0) for s in steps), F.lit(0))
+    each = df.where(F.col(difference).isNotNull()).select(key, difference, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_c", chance).withColumn("_k", times)
+    return each.groupBy("draw").agg((F.sum(F.col(difference) * F.col("_k")) / F.sum("_k")).alias("mean"))

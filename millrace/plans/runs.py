@@ -204,3 +204,24 @@ def final_over_checkpoint(spark, sf_dir):
     final, checkpoint = events.where("event_id % 3 = 0"), events.where("event_id % 2 = 0")
     ranked = final.withColumn("src", F.lit(0)).union(checkpoint.withColumn("src", F.lit(1))).withColumn("at", F.struct("src", "event_id"))
     return runs.keep_first(ranked, ["user_id", "event_type"], "at").select("user_id", "event_type", "event_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey, max(l_quantity) FILTER (WHERE l_returnflag = 'A')::DOUBLE AS "A", max(l_quantity) FILTER (WHERE l_returnflag = 'N')::DOUBLE AS "N", max(l_quantity) FILTER (WHERE l_returnflag = 'R')::DOUBLE AS "R" FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CASE WHEN "A" = greatest("A", "N", "R") THEN 'A' ELSE '' END || CASE WHEN "N" = greatest("A", "N", "R") THEN 'N' ELSE '' END || CASE WHEN "R" = greatest("A", "N", "R") THEN 'R' ELSE '' END AS best FROM p""")
+def best_in_row(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("double")).groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("q"))
+    return runstats.best_in_row(rows, ["A", "N", "R"]).select("l_orderkey", F.array_join("best", "").alias("best"))
+
+
+@query("""SELECT c_custkey, round(len(list_intersect(list_distinct(list_transform(regexp_extract_all(said, '[A-Za-z_][A-Za-z0-9_]{2,}'), lambda x: lower(x))), ['get', 'building', 'machinery', 'return'])) / 4.0, 6) AS rate
+FROM (SELECT c_custkey, 'Return what get_' || c_mktsegment || ' GET ' || c_mktsegment AS said FROM customer)""")
+def identifier_preservation(spark, sf_dir):
+    said = text.identifiers(F.concat(F.lit("Return what get_"), "c_mktsegment", F.lit(" GET "), "c_mktsegment"))
+    names = F.array(*map(F.lit, ["get", "building", "machinery", "return"]))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(runstats.preservation(said, names), 6).alias("rate"))
+
+
+@query("SELECT l_linenumber, l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY l_linenumber, l_suppkey, l_partkey LIMIT 50")
+def sorted_configs(spark, sf_dir):
+    each = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return each.orderBy("l_linenumber", "l_suppkey", "l_partkey").limit(50)

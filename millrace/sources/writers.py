@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Iterable
 
@@ -55,3 +56,34 @@ def markdown(df: DataFrame, title: str = "") -> str:
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in df.columns) + " |" for r in records(df)]) + "\n"
+
+
+def finish(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Writes the final records and drops the checkpoint that they came from; the checkpoint stays if writing fails, and may be gone already."""
+    jsonl(df, path)
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def report(sections: list[tuple[str, DataFrame]], title: str) -> str:
+    """Several small results as one Markdown document, each under its heading."""
+    return "\n".join([f"# {title}\n", *(markdown(df, name) for name, df in sections)])
+
+
+def html_page(df: DataFrame, title: str, name: str = "DATA") -> str:
+    """A page with a small result as JSON in a script. Nothing in it can end the script, or is read as markup."""
+    held = json.dumps(records(df), ensure_ascii=False, default=str)
+    for sign in "<>&  ":
+        held = held.replace(sign, f"\\u{ord(sign):04x}")
+    return f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><script>const {name} = {held};</script></body></html>\n'
+
+
+def fixed_width(df: DataFrame, places: int = 4) -> str:
+    """A small result as lines of text: numbers to the right, the rest to the left."""
+    cell = lambda v: "-" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
+    rows = records(df)
+    lines = [df.columns, *([cell(r[c]) for c in df.columns] for r in rows)]
+    widths = [max(len(line[i]) for line in lines) for i in range(len(df.columns))]
+    right = [all(isinstance(r[c], (int, float)) or r[c] is None for r in rows) and bool(rows) for c in df.columns]
+    return "\n".join("  ".join(x.rjust(w) if r else x.ljust(w) for x, w, r in zip(line, widths, right, strict=True)).rstrip() for line in lines) + "\n"
