@@ -21,6 +21,8 @@ from .common import ascii_lower, fits, settle, small, table
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle.
 SHINGLE = 3
+#: No word has it; it stands for the end of a text.
+END = "\x00"
 
 
 def words_of(text: Column) -> Column:
@@ -28,10 +30,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def shingles(words: Column, size: int) -> Column:
-    """Hashes of `size` neighbouring words, by place; none for fewer words."""
-    joined = lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), joined)).otherwise(F.array().cast("array<bigint>"))
+def _hash(size: int) -> Column:
+    """Hash of the `size` words from `pos` on, in the columns w, pos and word."""
+    return F.xxhash64(F.lit(size), "word", *[F.get("w", F.col("pos") + k) for k in range(1, size)])
+
+
+def shingles(texts: DataFrame, sizes: list[int], end: bool = False) -> DataFrame:
+    """texts (..., w) with pos, word and h, a row for each place and size; what reaches over the end is the hash of fewer words. With `end`, END has one row, of hash 0.
+
+    Words are exploded first and hashed then, by generated code: a lambda over the array would be interpreted.
+    """
+    hashes = [_hash(s) for s in sizes or [SHINGLE]]
+    if end:
+        hashes = [F.when(F.col("word") == END, F.lit(0).cast("bigint") if i == 0 else F.lit(None).cast("bigint")).otherwise(h) for i, h in enumerate(hashes)]
+    each = texts.select("*", F.posexplode("w").alias("pos", "word"))
+    return each.withColumn("h", F.explode(F.array(*hashes)) if len(hashes) > 1 else hashes[0])
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
@@ -49,18 +62,15 @@ def _sizes(windows: DataFrame) -> list[int]:
     return sorted(r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect())
 
 
-def _hashes(words: Column, sizes: list[int]) -> Column:
-    """(pos, h) of all shingles of these sizes."""
-    each = [F.transform(shingles(words, s), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for s in sizes]
-    return F.concat(*each) if each else F.array().cast("array<struct<pos:int,h:bigint>>")
-
-
 def anchored(windows: DataFrame, docs: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
     """windows with `h`, the shingle that is rarest over all documents, and `off`, its place in the window."""
-    own = F.concat(*[F.when(F.least(F.size("win"), F.lit(SHINGLE)) == s, _hashes(F.col("win"), [s])).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")) for s in sizes]) if sizes else _hashes(F.col("win"), [])
-    each = settle(windows.select("win_id", "win", F.inline(own)).withColumnRenamed("pos", "off"))
+    own = shingles(windows.withColumn("w", F.col("win")), sizes)
+    size = F.least(F.size("w"), F.lit(SHINGLE))
+    whole = (F.col("pos") + size <= F.size("w")) & (F.col("h") == F.coalesce(*[F.when(size == s, _hash(s)) for s in sizes], F.lit(0)))
+    each = settle(own.where(whole).select("win_id", "win", F.col("pos").alias("off"), "h").distinct())
     vocabulary = settle(each.select("h").distinct())
-    spoken = docs.select(F.explode(F.transform(_hashes(words_of(F.col(text_col)), sizes), lambda x: x["h"])).alias("h"))
+    # The words are a column of their own, as expressions within others would be worked out anew for each element.
+    spoken = shingles(docs.select(words_of(F.col(text_col)).alias("w")), sizes).select("h")
     if fits(vocabulary):
         counts = spoken.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     else:  # counted before it moves, so that a frequent shingle is one row a task
@@ -92,14 +102,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     text = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), words_of(F.col(text_col)).alias("w"))
     if fits(anchors):
-        # An entry of its own stands for the text itself, so that one pass gives the number of words too.
-        whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("h")))
-        said = text.select("id", "key", "w", F.inline(F.concat(whole, _hashes(F.col("w"), sizes))))
-        found = said.join(F.broadcast(anchors), "h", "left").where("pos < 0 OR win_id IS NOT NULL")
-        found = found.withColumn("start", _places(F.col("w"), F.col("pos"), F.col("off"), F.col("win"))).where("pos < 0 OR start IS NOT NULL")
-        found = found.select("id", "key", F.when(F.col("pos") < 0, F.size("w")).alias("n_words"), "win_id", "start", F.size("win").alias("len"))
+        # A last word that no text has stands for the text itself, so that one pass gives the number of words too.
+        said = shingles(text.withColumn("w", F.array_append("w", F.lit(END))), sizes, end=True)
+        none = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("win_id"), F.array().cast("array<string>").alias("win"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("off"))
+        found = said.join(F.broadcast(anchors.unionByName(none)), "h")
+        last = F.col("win_id").isNull() & (F.col("word") == END)
+        start = F.when(F.col("win_id").isNotNull(), _places(F.col("w"), F.col("pos"), F.col("off"), F.col("win")))
+        found = found.withColumn("start", start).where(last | F.col("start").isNotNull())
+        found = found.select("id", "key", F.when(last, F.col("pos")).alias("n_words"), "win_id", "start", F.size("win").alias("len"))
     else:
-        said = text.select("id", "key", F.inline(_hashes(F.col("w"), sizes)))
+        said = shingles(text, sizes).select("id", "key", "pos", "h")
         likely = settle(said.join(anchors.select("h", "off", "win_id"), "h").select("id", "key", "pos", "off", "win_id").distinct())
         named = small(likely.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct())
         texts = text.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi").dropDuplicates(["id", "key"])
