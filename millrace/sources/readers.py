@@ -51,6 +51,10 @@ def _exists(spark: SparkSession, path: str) -> tuple[bool, bool]:
     return fs.exists(p), fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path)[0]
+
+
 def _under_a_plain_name(spark: SparkSession, path: str) -> str | None:
     """A copy of a file whose name Spark's readers hide, in the session's shared folder, until the session ends; None if the file isn't there.
 

@@ -21,12 +21,12 @@ def finished_once(stream: DataFrame, target: str, checkpoint: str, keys: tuple[s
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.where(F.col("error").isNull() | (F.col("error") == "")).dropDuplicates(list(keys))
-        try:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(*keys), list(keys), "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        done = batch.where(F.col("error").isNull() | (F.col("error") == ""))
+        # Of several records of a key the smallest by its JSON stays, so that a batch that is repeated gives the same rows.
+        fresh = done.groupBy(*keys).agg(F.min_by(F.struct(*done.columns), F.to_json(F.struct(*done.columns))).alias("r")).select("r.*")
+        if readers.exists(spark, target):
+            known = spark.read.schema(batch.schema).parquet(target).select(*keys)  # the keys' columns alone are read
+            fresh = fresh.join(known, list(keys), "left_anti")
         fresh.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
