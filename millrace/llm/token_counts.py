@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 PIECES_HELD, CHUNKS_HELD, PAIRS_HELD = 200_000, 400_000, 500_000
+#: Characters of the longest chunk or piece that is remembered; longer ones are counted each time, so that caches are bounded in bytes too.
+LONGEST_HELD = 64
 NO_PAIR = 1 << 60
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -57,11 +59,13 @@ class _Chunks(dict):
         self.count = count
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) > CHUNKS_HELD:
-            self.clear()
         spaced = " " + chunk
         pieces = [spaced] if chunk.isascii() and chunk.isalpha() else self.count.cut(spaced)
-        n = self[chunk] = sum(self.count.piece(p)[-1] for p in pieces)
+        n = sum(self.count.piece(p)[-1] for p in pieces)
+        if len(chunk) <= LONGEST_HELD:
+            if len(self) > CHUNKS_HELD:
+                self.clear()
+            self[chunk] = n
         return n
 
 
@@ -148,15 +152,17 @@ class PrefixCounter:
         """Token counts of the prefixes of a piece, by code point."""
         got = self.pieces.get(text)
         if got is None:
-            if len(self.pieces) > PIECES_HELD:
-                self.pieces.clear()
             counts = self.byte_prefixes(text.encode())
             if len(counts) > len(text) + 1:
                 ends = [0]
                 for c in text:
                     ends.append(ends[-1] + len(c.encode()))
                 counts = [counts[e] for e in ends]
-            got = self.pieces[text] = tuple(counts)
+            got = tuple(counts)
+            if len(text) <= LONGEST_HELD:
+                if len(self.pieces) > PIECES_HELD:
+                    self.pieces.clear()
+                self.pieces[text] = got
         return got
 
     def cut(self, text: str) -> list[str]:
