@@ -10,8 +10,8 @@
 Steps 2 and 3 both look for components inside groups that may be large. `_forest` never compares what is joined already,
 so that a group of near copies costs about its own length, and it gives a star for each component, not pairs. A group too large
 for a task is cut into chunks that share a few leaders, which joins most of it in one pass. What that leaves in several
-components is dealt anew by its other bands: two texts that are alike share some. Only groups of these that hold several components go on; where
-such a group is still too large, the rows outside its main component are compared with all its chunks.
+components goes on: where a main component holds half of the rows, those outside it are compared with all chunks; a group without one is
+dealt anew by its other bands first, of which two texts that are alike share some.
 """
 
 from __future__ import annotations
@@ -209,8 +209,9 @@ def _link_groups(rows: DataFrame, keys: list[str], kernel, percent: int, hashes:
             found = link(*held[len(keys) :], held_data)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    wide = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], "id", "n", "label", "data")
-    return wide.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(scan, "u bigint, v bigint")
+    order = [*keys, *(["late"] if "late" in rows.columns else []), "id"]
+    wide = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], *order[len(keys) : -1], "id", "n", "label", "data")
+    return wide.repartition(*keys).sortWithinPartitions(*order).mapInArrow(scan, "u bigint, v bigint")
 
 
 def _parts(members: DataFrame) -> DataFrame:
@@ -230,20 +231,32 @@ def _links(members: DataFrame, attach, kernel, percent: int, hashes: int, bucket
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")) < LEADERS)
     chunks = F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    told = attach(rows.select("g", "id", "n", chunks.alias("chunks")))
+    told = attach(rows.select("g", "id", "n", chunks.alias("chunks"))).withColumn("late", F.size("chunks") == 1)
     first = settle(_link_groups(told.withColumn("chunk", F.explode("chunks")).withColumn("label", F.col("id")), ["g", "chunk"], kernel, percent, hashes))
     large = sizes.where("parts > 1")
     if large.isEmpty():
         return first
 
-    labelled = rows.where("parts > 1").join(components(first).withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = settle(labelled.select("g", "id", "n", "bytes", "label"))
-    several = F.min("label") != F.max("label")
-    mixed = settle(labelled.groupBy("g").agg(several.alias("mixed")).where("mixed").select("g"))
-    dealt = buckets(labelled.join(small(mixed), "g")).where("sub <> g").withColumn("g", F.xxhash64("g", "sub")).drop("sub")
-    dealt = settle(dealt)
-    mixed = settle(dealt.groupBy("g").agg(several.alias("mixed")).where("mixed").select("g"))
-    return first.union(_links_outside(settle(dealt.join(small(mixed), "g")), attach, kernel, percent, hashes))
+    # Leaders come first in their chunks, so that the smallest leader of a component is its row in every chunk. A row's label is the smallest
+    # row that it is linked to, or that row's own smallest if it is a leader: rows with one label are joined, and nearly all that are joined have one.
+    roots = settle(first.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")))
+    hops = roots.join(small(settle(rows.where(leader).select("id").distinct())), "id").select(F.col("id").alias("label"), F.col("label").alias("next"))
+    labels = roots.join(small(settle(hops)), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+    labelled = rows.where("parts > 1").join(labels, "id", "left").select("g", "id", "n", "bytes", F.coalesce("label", "id").alias("label"))
+    labelled = settle(labelled)
+    most = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max("k").alias("most"), F.sum("k").alias("k"))
+    left = settle(most.where("most < k").select("g", (2 * F.col("most") >= F.col("k")).alias("main")))
+    # A main component leaves few rows to compare with it. Without one, rows meet by their other bands first.
+    rest = labelled.join(small(left.where("main").select("g")), "g")
+    without = left.where("NOT main").select("g")
+    if not without.isEmpty():
+        dealt = buckets(labelled.join(small(without), "g")).where("sub <> g").withColumn("g", F.xxhash64("g", "sub")).drop("sub")
+        dealt = settle(dealt)
+        mixed = settle(dealt.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g"))
+        rest = rest.select("g", "id", "n", "bytes", "label").union(dealt.join(small(mixed), "g").select("g", "id", "n", "bytes", "label"))
+    elif left.isEmpty():
+        return first
+    return first.union(_links_outside(settle(rest), attach, kernel, percent, hashes))
 
 
 def _links_outside(members: DataFrame, attach, kernel, percent: int, hashes: int) -> DataFrame:

@@ -301,3 +301,12 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, (_, c) in near.items() if i == c}
         docs_in = out
     assert out.where(F.col("taken") <= 0).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from millrace.llm import graph
+
+    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+    edges = [(500, j) for j in range(501, 530)] + [(0, j) for j in range(1, 20)] + [(19, 500), (100, 101), (101, 102)]
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{n: 0 for n in [*range(20), *range(500, 530)]}, 100: 100, 101: 100, 102: 100}
