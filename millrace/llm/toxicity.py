@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +39,8 @@ CANDIDATES, WINDOWS_EACH = 2_000, 12
 #: A telling segment is so many times as frequent in toxic contexts as in ordinary ones, at least.
 TELLING = 3
 LEVEL, GAINS = 12, 24
+#: Characters that a window shares with a telling segment if it is to be compressed; segments have one more at least.
+PIECE = 4
 #: The share of clean documents that are accused counts so many times the share of toxic ones that are missed.
 FALSE_ALARM = 2.0
 
@@ -70,8 +73,8 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 class Model:
     """What training gives: the dictionaries, the rates of gains, the threshold of the weight, and the share of label 1."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, prior: float):
-        self.ordinary, self.toxic, self.prior = ordinary, toxic, prior
+    def __init__(self, ordinary: bytes, toxic: bytes, prior: float, segments: tuple[str, ...] = ()):
+        self.ordinary, self.toxic, self.prior, self.segments = ordinary, toxic, prior, segments
         self.rate, self.more, self.cut = np.ones(GAINS + 1), np.zeros(GAINS + 1), 0.0
 
     def weigh(self, seen: np.ndarray) -> np.ndarray:
@@ -99,9 +102,18 @@ class Model:
 
 
 class Gains:
-    """Counts of a text's windows by gain, 0 to GAINS."""
+    """Counts of a text's distinct windows by gain, 0 to GAINS.
+
+    Only a window that shares PIECE characters with a telling segment can refer to one; an automaton finds these in one pass over
+    the text, and the others, whose gain is 0, are counted without being compressed.
+    """
 
     def __init__(self, model: Model):
+        self.pieces = ahocorasick.Automaton()
+        for s in model.segments or (model.toxic.decode("utf-16-le", "ignore"),):
+            for i in range(max(1, len(s) - PIECE + 1)):
+                self.pieces.add_word(s[i : i + PIECE], min(PIECE, len(s)))
+        self.pieces.make_automaton()
         # The same length, so that references cost the same.
         self.plain, self.own = self._compressor(bytes(len(model.toxic)) + model.ordinary), self._compressor(model.toxic + model.ordinary)
 
@@ -113,9 +125,24 @@ class Gains:
 
     def of(self, text: str | None) -> np.ndarray:
         plain, own = self.plain.compress, self.own.compress
-        ws = windows(text)
-        gains = np.fromiter((len(plain(w)) - len(own(w)) for w in ws), np.int64, len(ws))
-        return np.bincount(np.clip(gains, 0, GAINS), minlength=GAINS + 1)
+        ws = words(text)
+        starts = range(0, max(1, len(ws) - WINDOW + STEP), STEP) if ws else ()
+        every = {tuple(ws[i : i + WINDOW]) for i in starts}
+        near: set[tuple] = set()
+        if len(self.pieces) and every:
+            whole = f" {' '.join(ws)} "
+            begins = np.cumsum([0, *(len(w) + 1 for w in ws)])  # of each word, with the space before it
+            hits = np.array([(end - n + 1, end) for end, n in self.pieces.iter(whole)], np.int64).reshape(-1, 2)
+            at = np.unique(np.searchsorted(begins, hits, "right") - 1)
+            for k in at.tolist():
+                for i in range(max(0, (k - WINDOW) // STEP + 1) * STEP, min(k, len(ws) - 1) + 1, STEP):
+                    near.add(tuple(ws[i : i + WINDOW]))
+            near &= every
+        told = [_encode(f" {' '.join(w)} ") for w in near]
+        gains = np.fromiter((len(plain(w)) - len(own(w)) for w in told), np.int64, len(told))
+        out = np.bincount(np.clip(gains, 0, GAINS), minlength=GAINS + 1)
+        out[0] += len(every) - len(told)
+        return out
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -232,7 +259,7 @@ def train(picked: DataFrame) -> Model:
         ordinary, toxic = _samples(picked, segments)
         trained = _dictionary(toxic, TOXIC_BYTES)
         left_out = [g for g in map(_encode, segments) if g not in trained]  # the trainer may stop at the commonest
-        model = Model(_dictionary(ordinary, ORDINARY_BYTES), b"".join(reversed(left_out)) + trained, model.prior)
+        model = Model(_dictionary(ordinary, ORDINARY_BYTES), b"".join(reversed(left_out)) + trained, model.prior, tuple(segments))
         got = _scan(picked, model, "toxic", True).toPandas()
         model.calibrate(got["toxic"].to_numpy(), np.stack(got["weight"]))
     return model
