@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, pieces, quality, secrets, token_counts, toxicity
+from . import alignment, chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, pieces, quality, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op12_pieces": pieces.op12_pieces,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
