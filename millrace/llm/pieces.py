@@ -3,7 +3,7 @@
 The library merges the two neighbours whose joint text is the best piece, the leftmost first, until none are left. As
 merges within one token don't depend on those within another, a sequence of tokens is that encoding exactly if every two
 neighbours are what merging makes of their joint text. So an encoding is found from left to right: the longest piece
-that starts here (all of a chunk's matches come from one Aho-Corasick pass) and that stands validly after the token before it; where
+that starts here (an Aho-Corasick automaton finds chains of them) and that stands validly after the token before it; where
 none fits, that place has failed for good, since only one valid sequence of tokens leads to it, and the last token gives
 way to a shorter one. Failed places are bits of one integer. Between two characters that stand side by side in no piece
 nothing is ever merged: texts are cut there, at spaces first, and the ids of chunks and their parts are remembered.
@@ -70,13 +70,12 @@ class PieceCodec:
         self.plain = sp.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.cuts = all(pair[0] == SPACE for pair in self.inside if pair[1] == SPACE)
-        # Reversed pieces over a reversed text end where the pieces start, the longest first.
         self.matcher = ahocorasick.Automaton()
-        #: The longest shorter piece that a piece starts with, or else its first character; none for single characters.
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), p[0]) for p in self.id if len(p) > 1}
         for p in self.id:
-            self.matcher.add_word(p[::-1], p)
+            self.matcher.add_word(p, p)
         self.matcher.make_automaton()
+        #: The longest shorter piece that a piece starts with, or else its first character; none for single characters.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), p[0]) for p in self.id if len(p) > 1}
         self.whole = Remembered(lambda p: self.merged(p) == [p], PAIRS_HELD)
         self.fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], PAIRS_HELD)
         self.parts = Remembered(self._part_ids, CHUNKS_HELD, LONGEST_HELD)
@@ -99,19 +98,26 @@ class PieceCodec:
     def tokens(self, chunk: str) -> list[str]:
         """The encoding of a normalised chunk, as texts of tokens; what is no piece is a token of one character."""
         n = len(chunk)
-        longest = dict([*self.matcher.iter(chunk[::-1])][::-1])  # of equal ends the first match, the longest, stays
-        fits, shorter = self.fits, self.shorter
+        longest: dict[int, str] = {}  # by start, along the chains of longest matches that were looked for
+        find, fits, shorter = self.matcher.iter_long, self.fits, self.shorter
         out: list[str] = []
-        at, failed, last = 0, 0, ""
-        token = longest.get(n - 1) or chunk[0]
+        at, failed, last, token = 0, 0, "", ""
         while True:
+            if not token:
+                token = longest.get(at)
+                if token is None:
+                    for end, piece in find(chunk, at):
+                        start = end + 1 - len(piece)
+                        if start in longest:
+                            break
+                        longest[start] = piece
+                    token = longest.setdefault(at, chunk[at])
             end = at + len(token)
             if not failed >> end & 1 and (fits[last, token] if last else self.whole[token]):
                 out.append(token)
                 if end == n:
                     return out
-                at, last = end, token
-                token = longest.get(n - 1 - at) or chunk[at]
+                at, last, token = end, token, ""
                 continue
             token = shorter.get(token, "")
             while not token:
@@ -125,7 +131,7 @@ class PieceCodec:
         text, inside = SPACE + chunk, self.inside
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
         if not cuts:
-            return self.parts[text]
+            return self._part_ids(text)  # remembered as a chunk
         return b"".join([self.parts[text[i:j]] for i, j in zip([0, *cuts], [*cuts, len(text)])])
 
     def _part_ids(self, part: str) -> bytes:
@@ -188,6 +194,13 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def _lists(column: pa.ListArray):
+    """The lists of a column one by one, so that a batch's numbers aren't all Python objects at a time; null is an empty list."""
+    values, ends, there = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    for at, to, some in zip(ends[:-1].tolist(), ends[1:].tolist(), there, strict=True):
+        yield values[at:to].tolist() if some else []
+
+
 def _arrow(rows: DataFrame, made: str, kind: pa.DataType, spark_kind: str, scan) -> DataFrame:
     """rows (id, x) with x replaced by what scan makes of it, batch by batch."""
 
@@ -220,7 +233,7 @@ def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col
 
     def scan(lists):
         decode = codec(path).decode
-        return pa.array([decode(ids) if ids else "" for ids in lists.to_pylist()], pa.string())
+        return pa.array(map(decode, _lists(lists)), pa.string())
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("x"))
     return _arrow(rows, "text", pa.string(), "string", scan).withColumnRenamed("id", id_col)
@@ -234,10 +247,12 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         own = codec(path)
         names = [str(i) for i in range(len(own.raw))]
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            told = [hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest() for ids in lists]
-            read = [hashlib.sha256(own.decode(ids).encode()).hexdigest() for ids in lists]
-            cols = [batch.column("id"), pa.array(list(map(len, lists)), pa.int64()), pa.array(told, pa.string()), pa.array(read, pa.string())]
+            n, told, read = [], [], []
+            for ids in _lists(batch.column("ids")):
+                n.append(len(ids))
+                told.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                read.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(read, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
