@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diffs, text
 from ..operators import stats
+from ..operators.percentiles import exact_percentiles
 from .catalog import query, table
 
 #: The limits of a report's buckets.
@@ -92,11 +93,28 @@ def strip_tags(spark, sf_dir):
 @query("""SELECT lang, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(median(n_chars), 6) AS med,
 (list_sort(list(n_chars)))[(count(*) // 2) + 1]::BIGINT AS upper_median FROM documents GROUP BY lang""")
 def percentiles(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    p = F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95)))
-    each = docs.groupBy("lang").agg(p.alias("p"), F.median("n_chars").alias("med"))
-    both = each.join(stats.upper_median(docs, "lang", "n_chars"), "lang")
-    return both.select("lang", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p95"))], F.round("med", 6).alias("med"), "upper_median")
+    each = exact_percentiles(table(spark, sf_dir, "documents"), ["n_chars"], [0.25, 0.5, 0.95], ["lang"], upper_median=True)
+    p = [F.round(F.col("percentiles")[i], 6) for i in range(3)]
+    return each.select("lang", p[0].alias("p25"), p[1].alias("p50"), p[2].alias("p95"), p[1].alias("med"), F.col("upper_median").cast("long").alias("upper_median"))
+
+
+#: Of several columns, and of the rows of each order, what a profile of a dataset shows.
+PROFILE = (0.25, 0.5, 0.75, 0.9, 0.95)
+_PROFILED = ("l_quantity", "l_extendedprice", "l_partkey")
+_ROW = "SELECT '{0}' AS \"column\", count({0}) AS n, min({0})::DOUBLE AS least, " + ", ".join(f"round(quantile_cont({{0}}::DOUBLE, {p}), 4) AS p{p * 100:.0f}" for p in PROFILE) + ", max({0})::DOUBLE AS largest, round(avg({0}), 4) AS mean, (list_sort(list({0})))[(count({0}) // 2) + 1]::DOUBLE AS upper_median FROM {1}"
+
+
+def _profile(df, columns):
+    each = exact_percentiles(df, list(columns), list(PROFILE), upper_median=True)
+    return each.select("column", "n", "least", *[F.round(F.col("percentiles")[i], 4).alias(f"p{p * 100:.0f}") for i, p in enumerate(PROFILE)], "largest", F.round("mean", 4).alias("mean"), "upper_median")
+
+
+@query(" UNION ALL ".join(_ROW.format(c, "lineitem") for c in _PROFILED) + " UNION ALL " + _ROW.format("files", "(SELECT count(*) AS files FROM lineitem GROUP BY l_orderkey)"))
+def dataset_profile(spark, sf_dir):
+    """Rows per order stand for files per task."""
+    lines = table(spark, sf_dir, "lineitem")
+    files = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("files"))
+    return _profile(lines, _PROFILED).union(_profile(files, ["files"]))
 
 
 @query("SELECT event_type, (json_extract_string(props, '$.k')::BIGINT % 10) AS k, count(*) AS n FROM events GROUP BY 1, 2")
