@@ -1,12 +1,10 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, and how often a pair does in the corpus.
 
 Both tokenizers see a space and the text, so their tokens lie on the same bytes. Every stretch between neighbouring token ends, of
-either kind, is one link: the pair of tokens that covers it. Pairs are packed into 64-bit keys, B's id above A's. Each partition
-counts its keys with np.unique; partial counts are sorted into key ranges, where equal keys stand side by side and are summed run by
-run; each range is one shard, a file of keys and counts in the shared folder, that tasks map into memory and search.
-
-Neither tokenizer has a token that goes over the place between a character that is no white space and a space that such a
-character follows. Texts are cut there into chunks; what is known of a chunk is kept in arrays at its slot.
+either kind, is one link: the pair of tokens that covers it. Pairs are packed into 64-bit keys, B's id above A's. Each text is
+tokenized once; its distinct keys are kept beside its numbers, and each partition counts its keys with np.unique. Partial counts are
+sorted into key ranges, where equal keys stand side by side and are summed run by run; each range is one shard, a file of keys and
+counts in the shared folder, that tasks map into memory and search for the kept keys.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import uuid
 from functools import cache
 
@@ -28,32 +25,23 @@ from .common import _files, _shared_folder, discard, settle, table
 from .token_counts import _byte_letters
 
 SPACE = "▁"
-#: A slot per chunk, so many at most, and characters in them; then all are let go.
-SLOTS_HELD, CHARS_HELD = 300_000, 12_000_000
-#: Characters that are tokenized in one call.
-JOINED = 8_000
-#: Chunks of texts that wait until they are counted together.
-WAITING = 1_000_000
-_LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Keys that wait until they are counted together, keys of one row of partial counts, texts that are handed on or looked up together.
+WAITING, PART, TEXTS = 2_000_000, 50_000, 512
+#: From here on Unicode has places that not all versions have filled, and libraries of other ages disagree on what a letter is.
+UNSURE = "\u0558"
 _SHIFT = 32
-
-
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a text, each without the space that it starts with."""
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-
-def _grown(held: np.ndarray, n: int) -> np.ndarray:
-    return held if n <= len(held) else np.concatenate([held, np.zeros(max(n, 2 * len(held)) - len(held), held.dtype)])
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+_FINAL = (*_NUMBERS, "n_best", "count_sum")
 
 
 class Aligner:
-    """Slots of chunks for a byte-level BPE file (A) and a piece model (B)."""
+    """Tokens and links of texts for a byte-level BPE file (A) and a piece model (B)."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -61,132 +49,56 @@ class Aligner:
         self.b = sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
         with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for t, i in vocabulary.items():
-            # An added token's text need not be written in byte letters; it never comes out, as texts are plain.
-            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+            spec = json.load(f)
+        added = {t["content"] for t in spec["added_tokens"]}
+        plain = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+        self.a_bytes = [b""] * (max(spec["model"]["vocab"].values()) + 1)
+        for t, i in plain.items():
+            self.a_bytes[i] = t
+        #: The same vocabulary in a faster library, which gives the same tokens where both agree on what a letter is.
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.chars = 0
-        self.said: list[str] = []  # groups of a chunk
-        self.numbers = {c: np.zeros(1024, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
-        self.bad = np.zeros(1024, bool)
-        self.keys = np.zeros(4096, np.int64)
-        self.ends = np.zeros(1024, np.int64)  # of each slot's keys
-        self.scored = 0  # slots with n_best and count_sum
-
-    def full(self) -> bool:
-        return len(self.slot) > SLOTS_HELD or self.chars > CHARS_HELD
-
-    def slots(self, chunks: list[str]) -> np.ndarray:
-        """The slots of chunks; new ones are filled."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.slot]
-        if new:
-            self._fill(new)
-        return np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))
-
-    def _fill(self, new: list[str]) -> None:
-        runs, run, size = [], [], 0
-        for c in new:
-            if not c or c[0].isspace() or c[-1].isspace() or SPACE in c:
-                runs.append([c])  # alone, as it can't be cut off from what follows
-                continue
-            run.append(c)
-            size += len(c)
-            if size > JOINED:
-                runs.append(run)
-                run, size = [], 0
-        runs += [run] if run else []
-        for at in range(0, len(runs), 64):
-            some = runs[at : at + 64]
-            joined = [" ".join(r) for r in some]
-            a_ids = [e.ids for e in self.a.encode_batch([" " + t for t in joined], add_special_tokens=False)]
-            b_ids = self.b.encode(joined, num_threads=1)
-            for r, t, a, b in zip(some, joined, a_ids, b_ids, strict=True):
-                data = (" " + t).encode()
-                if t and b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)):
-                    self._align(r, a, b)
-                elif len(r) > 1:  # one of them is odd: each alone
-                    for c in r:
-                        x, y = self.a.encode(" " + c, add_special_tokens=False).ids, self.b.encode(c)
-                        good = b"".join(map(self.a_bytes.__getitem__, x)) == (" " + c).encode() == b"".join(map(self.b_bytes.__getitem__, y))
-                        self._align([c], x, y) if good else self._put(c, 0, 0, np.empty(0, np.int64), 0, "", True)
-                else:
-                    self._put(r[0], 0, 0, np.empty(0, np.int64), 0, "", True)
-
-    def _align(self, chunks: list[str], a: list[int], b: list[int]) -> None:
-        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
-        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
-        stops = np.union1d(a_ends, b_ends)  # of links
-        of_a, of_b = np.searchsorted(a_ends, stops), np.searchsorted(b_ends, stops)
-        keys = b_ids[of_b] << _SHIFT | a_ids[of_a]
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)  # ends of groups
-        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
-        n_a, n_b, n_links, n_groups = (np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, stops, shared))
-        g_a, g_b = (np.searchsorted(x, shared, "right").tolist() for x in (a_ends, b_ends))
-        a_names, b_names = list(map(str, a)), list(map(str, b))
-        i = j = 0
-        groups = []
-        for x, y in zip(g_a, g_b, strict=True):
-            groups.append((a_names[i] if x == i + 1 else ",".join(a_names[i:x])) + "|" + (b_names[j] if y == j + 1 else ",".join(b_names[j:y])))
-            i, j = x, y
-        from_ = (0, 0, 0, 0)
-        for c, *to in zip(chunks, n_a.tolist(), n_b.tolist(), n_links.tolist(), n_groups.tolist(), strict=True):
-            self._put(c, to[0] - from_[0], to[1] - from_[1], keys[from_[2] : to[2]], to[3] - from_[3], ";".join(groups[from_[3] : to[3]]), False)
-            from_ = to
-
-    def _put(self, chunk: str, n_a: int, n_b: int, keys: np.ndarray, n_groups: int, said: str, bad: bool) -> None:
-        i = len(self.said)
-        self.slot[chunk] = i
-        self.said.append(said)
-        self.chars += len(chunk) + len(said)
-        if i >= len(self.bad):
-            self.bad, self.ends = _grown(self.bad, i + 1), _grown(self.ends, i + 1)
-            self.numbers = {c: _grown(v, i + 1) for c, v in self.numbers.items()}
-        n = self.numbers
-        n["n_a"][i], n["n_b"][i], n["n_groups"][i], n["n_links"][i], self.bad[i] = n_a, n_b, n_groups, len(keys), bad
-        start = int(self.ends[i - 1]) if i else 0
-        self.ends[i] = start + len(keys)
-        self.keys = _grown(self.keys, start + len(keys))
-        self.keys[start : start + len(keys)] = keys
-
-    def text_slots(self, text: str | None) -> np.ndarray | None:
-        """The slots of a text's chunks; None if it has no tokens."""
+        # Ids as text, followed by each of the three signs.
+        self.width = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{i}{sign}" for sign in ",|;" for i in range(self.width)]
+
+    def tokens(self, text: str | None) -> tuple[list[int], list[int]] | None:
+        """A's and B's ids of a text; None if a tokenizer doesn't give the space and the text back."""
         if not text:
             return None
-        found = self.slots(chunks_of(text))
-        return None if self.bad[found].any() else found
-
-    def counted(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and their counts, from how often each slot came."""
-        ends = self.ends[: len(times)]
-        sizes = np.diff(ends, prepend=0)
-        weights = np.repeat(times, sizes)
-        seen = weights > 0
-        keys, where = np.unique(self.keys[: len(weights)][seen], return_inverse=True)
-        return keys, np.bincount(where, weights[seen], len(keys)).astype(np.int64)
-
-    def score(self, counts, best: np.ndarray) -> None:
-        """Fills n_best and count_sum of slots that lack them. counts: keys, sorted and distinct, to counts."""
-        n = len(self.said)
-        start = int(self.ends[self.scored - 1]) if self.scored else 0
-        keys = self.keys[start : int(self.ends[n - 1])] if n else self.keys[:0]
-        distinct, where = np.unique(keys, return_inverse=True)
-        found = counts(distinct)[where]
-        top = found == best[keys >> _SHIFT]
-        sizes = np.diff(self.ends[self.scored : n], prepend=start)
-        owner = np.repeat(np.arange(n - self.scored), sizes)
-        for c, v in (("n_best", top.astype(np.int64)), ("count_sum", found)):
-            total = np.zeros(n - self.scored, np.int64)
-            np.add.at(total, owner, v)
-            self.numbers[c][self.scored : n] = total
-        self.scored = n
+        spaced = " " + text
+        data = spaced.encode()
+        a = self.fast.encode_ordinary(spaced) if text.isascii() or max(text) < UNSURE else self.a.encode(spaced, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        return a, b
+
+    def links(self, text: str | None) -> tuple[tuple[int, int, int, int], np.ndarray, np.ndarray, str | None]:
+        """(n_a, n_b, n_groups, n_links), the distinct keys of the links in order, how often each comes, and the groups as text."""
+        found = self.tokens(text)
+        if found is None:
+            return (0, 0, 0, 0), np.empty(0, np.int64), np.empty(0, np.int64), None
+        a, b = (np.array(x, np.int64) for x in found)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        stops = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        last = np.flatnonzero(stops[1:] == stops[:-1])  # a stop of both ends a group
+        shared, stops = stops[last], np.delete(stops, last)
+        keys = b[np.searchsorted(b_ends, stops)] << _SHIFT | a[np.searchsorted(a_ends, stops)]
+        # Groups in a row: A's tokens, then B's. A token comes after all of both kinds in earlier groups, and B's after A's of its own.
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        a_last, b_last = np.searchsorted(a_ends, shared, "right"), np.searchsorted(b_ends, shared, "right")
+        told = np.empty(len(a) + len(b), np.int64)
+        a_sign, b_sign = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_sign[a_last - 1], b_sign[b_last - 1] = self.width, 2 * self.width
+        told[np.arange(len(a)) + np.concatenate([[0], b_last])[a_group]] = a + a_sign
+        told[np.arange(len(b)) + a_last[b_group]] = b + b_sign
+        said = "".join(map(self.names.__getitem__, told.tolist()))[:-1]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return (len(a), len(b), len(shared), len(stops)), keys[first], np.diff(first, append=len(keys)), said
 
 
 @cache
@@ -194,42 +106,57 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-_PARTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    found, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(times), len(found)).astype(np.int64)
 
 
-def _added(times: np.ndarray, found: list[np.ndarray], n: int) -> np.ndarray:
-    """times, of n slots now, with the slots found."""
-    return np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=n) + np.concatenate([times, np.zeros(n - len(times), np.int64)])
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), kind))
 
 
-def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(key, n): partial counts of the links of a frame with one column of texts, a key at most once per partition and lot of slots."""
+def _linked(rows: DataFrame, a_path: str, b_path: str, groups: bool) -> DataFrame:
+    """A row per row (id, text): id, numbers, digest, its keys and how often each comes; and rows of partial counts in part_keys, part_times."""
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", *_NUMBERS, "groups_sha256", *["groups"] * groups, "keys", "times", "part_keys", "part_times"]
+    schema = f"id {kind}, " + ", ".join(f"{c} bigint" for c in _NUMBERS) + ", groups_sha256 string" + ", groups string" * groups + ", keys array<bigint>, times array<int>, part_keys array<bigint>, part_times array<bigint>"
 
     def scan(batches):
         own = aligner(a_path, b_path)
-        own.clear()
-        waiting, size, times = [], 0, np.zeros(0, np.int64)
-
-        def told():
-            keys, n = own.counted(_added(times, waiting, len(own.said)))
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(n[at : at + 50_000])], schema=_PARTS)
-
+        id_kind, waiting, times, size = pa.null(), [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = own.text_slots(text)
-                if found is not None:
-                    waiting.append(found)
-                    size += len(found)
-                if own.full():
-                    yield from told()
-                    own.clear()
-                    waiting, size, times = [], 0, np.zeros(0, np.int64)
-                elif size > WAITING:
-                    waiting, size, times = [], 0, _added(times, waiting, len(own.said))
-        yield from told()
-
-    return texts.mapInArrow(scan, "key bigint, n bigint")
+            id_kind = batch.schema.field("id").type
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                found = [own.links(t) for t in some.column("text").to_pylist()]
+                n, empty = len(found), pa.nulls(len(found), pa.list_(pa.int64()))
+                keys, counts = [f[1] for f in found], [f[2] for f in found]
+                said = [f[3] for f in found]
+                cols = [some.column("id"), *(pa.array([f[0][i] for f in found], pa.int64()) for i in range(4)), pa.array(["" if t is None else hashlib.sha256(t.encode()).hexdigest() for t in said], pa.string())]
+                cols += [pa.array([t or "" for t in said], pa.string())] * groups + [_lists(keys, pa.int64()), _lists(counts, pa.int32()), empty, empty]
+                yield pa.RecordBatch.from_arrays(cols, names)
+                waiting += keys
+                times += counts
+                size += sum(map(len, keys))
+                if size > WAITING:
+                    one, its = _summed(waiting, times)
+                    waiting, times, size = [one], [its], 0 if len(one) < WAITING // 2 else size
+                    if size:  # so many distinct pairs: they are told now
+                        yield from told(one, its, id_kind)
+                        waiting, times, size = [], [], 0
+        if waiting:
+            yield from told(*_summed(waiting, times), id_kind)
+
+    def told(keys, times, id_kind):
+        cuts = range(0, len(keys), PART)
+        n = len(cuts)
+        if n:
+            cols = [pa.nulls(n, id_kind), *[pa.nulls(n, pa.int64())] * 4, *[pa.nulls(n, pa.string())] * (1 + groups), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, *(_lists([x[i : i + PART] for i in cuts], pa.int64()) for x in (keys, times))], names)
+
+    return rows.mapInArrow(scan, schema)
 
 
 def _runs_summed(batches):
@@ -298,63 +225,57 @@ def _written_shards(partial: DataFrame, folder: str) -> DataFrame:
     return ranged.mapInArrow(scan, "uri string, first bigint, last bigint, size bigint, b_ids array<bigint>, b_best array<bigint>")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """settle, with a denser codec: these are mostly sorted numbers."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/millrace-links-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
     """One row per row of `docs`: id, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256; with `groups` also their text.
 
     A is a byte-level BPE file, B a piece model that puts a space in front; both must be readable on every executor. A link's count is
     how often its pair of ids is linked in all of `docs`; n_best are links whose count is the highest of their B id. Texts are read and
-    tokenized twice, once to count and once to report. Defined cases: null and empty texts, and texts that a tokenizer doesn't give
-    back byte for byte, have no tokens, zeros and an empty digest, and count for nothing; null and repeated ids stay as they
+    tokenized once; their distinct keys wait in the shared folder, until the session ends, for the counts of all. Defined cases: null and empty texts, and texts that a
+    tokenizer doesn't give back byte for byte, have no tokens, zeros and an empty digest, and count for nothing; null and repeated ids stay as they
     are, and each repeated row counts; empty tables give no rows; other columns are not read. What the driver
     holds is one row per shard, at most one per shuffle partition, and one count per B id.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    partial = settle(pair_counts(rows.select("text"), a_path, b_path))
+    linked = _kept(_linked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), a_path, b_path, groups))
+    partial = linked.where("part_keys IS NOT NULL").select(F.inline(F.arrays_zip(F.col("part_keys").alias("key"), F.col("part_times").alias("n"))))
     folder = f"{_shared_folder(spark)}/millrace-shards-{uuid.uuid4().hex}"
     folder = folder if ":/" in folder else f"file://{folder}"
     fs, at = _files(spark, folder)
     fs.deleteOnExit(at)
     written = settle(_written_shards(partial, folder))
-    discard(partial)
     shards = Shards([tuple(r) for r in written.select("uri", "first", "last", "size").collect()])
-    best: dict[int, int] = {}
-    for r in written.select(F.explode(F.arrays_zip("b_ids", "b_best")).alias("x")).groupBy("x.b_ids").agg(F.max("x.b_best").alias("n")).collect():
-        best[r[0]] = r[1]
+    best = {r[0]: r[1] for r in written.select(F.inline(F.arrays_zip("b_ids", "b_best"))).groupBy("b_ids").agg(F.max("b_best")).collect()}
+    discard(written)
     top = np.zeros(max(best, default=0) + 1, np.int64)
     top[list(best)] = list(best.values())
-    discard(written)
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    told = ["groups_sha256", *["groups"] * groups]
 
     def scan(batches):
-        own = aligner(a_path, b_path)
-        own.clear()
         for batch in batches:
-            out, digests, texts = [], [], []
-            all_texts = batch.column("text").to_pylist()
-            for lot in range(0, len(all_texts), 256):
-                found = []
-                if own.full():
-                    own.clear()
-                for text in all_texts[lot : lot + 256]:
-                    found.append(own.text_slots(text))
-                own.score(shards, top)
-                for slots in found:
-                    if slots is None:
-                        out.append([0] * 6)
-                        digests.append("")
-                        texts.append("")
-                        continue
-                    out.append([int(own.numbers[c][slots].sum()) for c in names])
-                    said = ";".join(map(own.said.__getitem__, slots.tolist()))
-                    digests.append(hashlib.sha256(said.encode()).hexdigest())
-                    texts.append(said)
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            made = [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*made, *[pa.array(texts, pa.string())] * groups], ["id", *names, "groups_sha256", *["groups"] * groups])
-
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                lists = some.column("keys")
+                keys, times, ends = lists.flatten().to_numpy(), some.column("times").flatten().to_numpy(), lists.offsets.to_numpy()
+                distinct, where = np.unique(keys, return_inverse=True)
+                count = shards(distinct)
+                good = count == top[distinct >> _SHIFT]
+                sums = (np.concatenate([[0], np.cumsum(x[where] * times)]) for x in (good, count))
+                made = [x[ends[1:] - ends[0]] - x[ends[:-1] - ends[0]] for x in sums]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", *_NUMBERS)), *(pa.array(m, pa.int64()) for m in made), *(some.column(c) for c in told)], ["id", *_FINAL, *told])
+
+    rows = linked.where("part_keys IS NULL").select("id", *_NUMBERS, *told, "keys", "times")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(scan, f"id {kind}, " + ", ".join(f"{c} bigint" for c in names) + ", groups_sha256 string" + ", groups string" * groups)
+    found = rows.mapInArrow(scan, f"id {kind}, " + ", ".join(f"{c} bigint" for c in _FINAL) + "".join(f", {c} string" for c in told))
     return found.withColumnRenamed("id", id_col)
 
 

@@ -82,21 +82,26 @@ def test_ids_stay_and_groups_are_told(spark):
     assert hashlib.sha256(got[0].groups.encode()).hexdigest() == got[0].groups_sha256 and got[0].count_sum == 3 * got[0].n_links
 
 
-def test_few_slots_and_small_shards(spark, monkeypatch):
-    rng = random.Random(9)
-    words = ["".join(rng.choice("abcdestnr") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    texts = [" ".join(rng.choices(words, k=40)) for _ in range(120)]
+def test_both_libraries_of_a_agree():
     own = alignment.aligner(A, B)
-    own.clear()
-    want = Counter()
-    for t in texts:
-        found = own.text_slots(t)
-        for i in found:
-            want.update(own.keys[own.ends[i - 1] if i else 0 : own.ends[i]].tolist())
-    keys, n = own.counted(np.bincount(np.concatenate([own.text_slots(t) for t in texts])))
-    assert dict(zip(keys.tolist(), n.tolist())) == want
+    rng = random.Random(12)
+    letters = "abcdeST019 .,'!\n\t\r\xa0éßñÿĀſʼ̈αωЖяֆ՗<|>"
+    for _ in range(5000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))
+        assert own.fast.encode_ordinary(text) == own.a.encode(text, add_special_tokens=False).ids, text
+    for c in range(1, ord(alignment.UNSURE)):
+        text = f"a{chr(c)}b {chr(c)}1"
+        assert own.fast.encode_ordinary(text) == own.a.encode(text, add_special_tokens=False).ids, text
+
+
+def test_few_waiting_and_small_shards(spark, monkeypatch):
+    rng = random.Random(9)
     batches = [pa.RecordBatch.from_pydict({"key": [1, 1, 2], "n": [1, 2, 3]}), pa.RecordBatch.from_pydict({"key": [2, 2], "n": [4, 5]}), pa.RecordBatch.from_pydict({"key": [2, 7], "n": [1, 1]})]
     assert [x for k, v in alignment._runs_summed(batches) for x in zip(k.tolist(), v.tolist())] == [(1, 3), (2, 13), (7, 1)]
+    keys, n = alignment._summed([np.array([3, 5]), np.array([5, 9])], [np.array([1, 2]), np.array([3, 4])])
+    assert (keys.tolist(), n.tolist()) == ([3, 5, 9], [1, 5, 4])
+    words = ["".join(rng.choice("abcdestnr") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     compare(texts, sorted(alignment.align(docs, A, B).collect(), key=lambda r: r.doc_id))
 
