@@ -52,22 +52,8 @@ def exact_percentiles(df: DataFrame, values: list[str], ps: list[float], groups:
     keys = [*g, "_col"]
     rows = _long(df, groups, values)
     total = settled(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("largest"), F.avg("_v").alias("mean")))
-    # A row per rank that is wanted: the interval that holds it, and the rows below that interval.
-    open_ = settled(total.select(*keys, F.explode(_wanted(F.col("n"), ps, upper_median)).alias("rank"), F.col("least").alias("lo"), F.col("largest").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")))
-    found = []
-    while True:
-        found.append(open_.where("lo = hi").select(*keys, "rank", F.col("lo").alias("value")))
-        wide, narrow = (open_.where(f"lo < hi AND inside {c} {FEW}") for c in (">", "<="))
-        if wide.isEmpty():
-            break
-        held = _counted(rows, keys, wide, F.floor(_share(F.col("_v"), F.col("_at.lo"), F.col("_at.hi")) * BINS).cast("int"))
-        open_ = settled(_placed(held, keys, wide).union(narrow))
-    # The rest lies in intervals of few rows: their values are the bins.
-    if not narrow.isEmpty():
-        found.append(_placed(_counted(rows, keys, narrow, F.col("_v")), keys, narrow).select(*keys, "rank", F.col("lo").alias("value")))
-    ranks = found[0]
-    for f in found[1:]:
-        ranks = ranks.union(f)
+    wanted = total.select(*keys, F.explode(_wanted(F.col("n"), ps, upper_median)).alias("rank"), F.col("least").alias("lo"), F.col("largest").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    ranks = _refined(rows, keys, wanted)
     at = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     n, value = F.col("n"), lambda i: F.element_at("at", i)
     made = []
@@ -80,6 +66,37 @@ def exact_percentiles(df: DataFrame, values: list[str], ps: list[float], groups:
     return out.select(*[F.col(f"t._g{i}").alias(name) for i, name in enumerate(groups)], names.alias("column"), "n", "least", "largest", "mean", F.array(*made).alias("percentiles"), *[value(F.floor(n / 2)).alias("upper_median")] * upper_median)
 
 
+def _refined(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """(keys, rank, value, below) for ranks whose intervals are known: the value at the rank, and how many values are smaller. rows: keys, _v; wanted: keys, rank, lo, hi, below, inside."""
+    told = [*keys, "rank", F.col("lo").alias("value"), "below"]
+    open_, found = settled(wanted), []
+    while True:
+        found.append(open_.where("lo = hi").select(*told))
+        wide, narrow = (open_.where(f"lo < hi AND inside {c} {FEW}") for c in (">", "<="))
+        if wide.isEmpty():
+            break
+        held = _counted(rows, keys, wide, F.floor(_share(F.col("_v"), F.col("_at.lo"), F.col("_at.hi")) * BINS).cast("int"))
+        open_ = settled(_placed(held, keys, wide).union(narrow))
+    # The rest lies in intervals of few rows: their values are the bins.
+    if not narrow.isEmpty():
+        found.append(_placed(_counted(rows, keys, narrow, F.col("_v")), keys, narrow).select(*told))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def values_at(df: DataFrame, value: Column, ranks: list[int]) -> dict[int, tuple[float, int]]:
+    """rank (from 0, in rising order) -> (the value there, how many values are smaller); ranks beyond the end are left out. Nulls and values that are not finite don't count."""
+    rows = df.select(F.lit(0).alias("_col"), value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").where(F.abs("_v") != float("inf"))
+    (n, low, high) = rows.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    inside = sorted({r for r in ranks if 0 <= r < n})
+    if not inside:
+        return {}
+    wanted = df.sparkSession.createDataFrame([(0, r, low, high, 0, n) for r in inside], "_col int, rank bigint, lo double, hi double, below bigint, inside bigint")
+    return {r["rank"]: (r["value"], r["below"]) for r in _refined(rows, ["_col"], wanted).collect()}
+
+
 def _share(v: Column, lo: Column, hi: Column) -> Column:
     """Where v lies from lo to hi, below 1; halves, so that no difference overflows. Monotone in v."""
     span = hi / 2 - lo / 2

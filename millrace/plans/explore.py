@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import diffs, text
-from ..operators import stats
+from ..operators import pages, stats
 from ..operators.percentiles import exact_percentiles
 from .catalog import query, table
 
@@ -129,6 +129,21 @@ def paged_search(spark, sf_dir):
     return docs.select("doc_id", "n_chars").orderBy(F.desc_nulls_last("n_chars"), "doc_id").offset(20).limit(20)
 
 
+_KEYS = {"default": "doc_id", "ts_desc": "-coalesce(n_chars % 97, 0)", "ts_asc": "coalesce(n_chars % 97, 0)", "gt_desc": "-coalesce(n_chars, 0)", "gt_asc": "coalesce(n_chars, 0)", "label_short": "coalesce(length(source), -1e308)", "label_long": "-coalesce(length(source), -1e308)"}
+PAGE, PER_PAGE = 2, 25
+
+
+@query(" UNION ALL ".join(f"(SELECT '{name}' AS sorted_by, doc_id, row_number() OVER (ORDER BY {key}, doc_id) - 1 AS place FROM documents ORDER BY place LIMIT {PER_PAGE} OFFSET {PAGE * PER_PAGE})" for name, key in _KEYS.items()))
+def sorted_pages(spark, sf_dir):
+    """The third page in each of a viewer's seven orders; many sources and remainders are equal, so that ids settle most places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("speed"), "n_chars", "source")
+    out = None
+    for name, order in pages.sample_orders("speed", "n_chars", "source").items():
+        one = pages.page_at(docs, order, "doc_id", PAGE, PER_PAGE).select(F.lit(name).alias("sorted_by"), "doc_id", F.col("_place").alias("place"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("SELECT p_partkey, CASE WHEN b >= 1073741824 THEN printf('%.2f', b / 1073741824.0) || ' GiB' ELSE printf('%.1f', b / 1048576.0) || ' MiB' END AS size, 'bs' || p_size || '_sbs8_th0.8_cacheTrue_batch4_mnt128' AS config FROM (SELECT *, p_size::BIGINT * 67108864 AS b FROM part)")
 def run_names(spark, sf_dir):
     size = F.col("p_size").cast("long") * F.lit(67108864)

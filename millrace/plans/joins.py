@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import runs
+from ..operators.lastwins import left_join_last
 from .catalog import query, table
 
 
@@ -114,3 +115,13 @@ def id_sets(spark, sf_dir):
 def change_marks(spark, sf_dir):
     run = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lag("o_totalprice").over(run).isNull().alias("fresh"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_suppkey END AS custkey FROM lineitem),
+o AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS last_price, max_by(o_orderstatus, o_orderkey) AS last_status FROM orders GROUP BY o_custkey)
+SELECT l.*, last_price, last_status FROM l LEFT JOIN o ON o_custkey = custkey""")
+def last_wins_join(spark, sf_dir):
+    """A quarter of all lines have one key, whose orders' last counts."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, 1).otherwise(F.col("l_suppkey")).alias("custkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_totalprice").alias("last_price"), F.col("o_orderstatus").alias("last_status"))
+    return left_join_last(lines, orders, "custkey", F.col("o_orderkey"), ["last_price", "last_status"], hot=5_000)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import diffs
+from ..functions import diffs, table_functions
 from ..operators import building, stats
 from .catalog import query, table
 
@@ -37,6 +37,16 @@ def changed_lines(spark, sf_dir):
     return _order_diffs(spark, sf_dir).select("l_orderkey", diffs.added_lines(d).alias("added"), diffs.deleted_lines(d).alias("deleted"), F.size(diffs.split_diff_last(diffs.code_part(d))).cast("long").alias("code_parts"))
 
 
+@query(f"SELECT l_orderkey, {_FILE} AS file, sum(l_quantity::INT)::BIGINT AS added, sum(l_linenumber)::BIGINT AS deleted, sum(l_quantity::INT + l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY 1, 2")
+def diff_table_functions(spark, sf_dir):
+    """Counts and lines of each file of a diff, by table functions in lateral joins."""
+    table_functions.register(spark)
+    d = _order_diffs(spark, sf_dir)
+    counts = d.lateralJoin(table_functions.ChangedLines(F.col("diff").outer(), F.lit(False))).groupBy("l_orderkey", "file").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
+    lines = d.lateralJoin(table_functions.ChangedLines(F.col("diff").outer(), F.lit(True))).groupBy("l_orderkey", "file").agg(F.count(F.lit(1)).alias("lines"))
+    return counts.join(lines, ["l_orderkey", "file"])
+
+
 @query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS k FROM events GROUP BY 1, 2) WHERE k = 1")
 def dominant_type(spark, sf_dir):
     return stats.most_common_in_group(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")

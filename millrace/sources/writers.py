@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..settled import file_system
+
 #: Rows that a report or a document on the driver may have.
 REPORT_ROWS = 10_000
 
@@ -19,8 +22,29 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def tasks_and_labels(tasks: DataFrame, tasks_path: str, labels_path: str) -> None:
-    jsonl(tasks, tasks_path)
-    jsonl(tasks.select("task_id", "label"), labels_path)
+    """Folders of JSON lines of whole tasks and of (task_id, label), in ASCII, from one scan of the tasks.
+
+    Each row gives a line for either sink; one job writes both beside the first folder, and finished folders are then moved to their places, so
+    that readers see all of a sink or nothing.
+    """
+    spark, options = tasks.sparkSession, {"writeNonAsciiCharacterAsCodePoint": "true", "ignoreNullFields": "false"}
+    line = lambda *columns: F.to_json(F.struct(*columns), options)
+    whole = line(*[F.col(f"`{c}`") for c in tasks.columns])
+    both = F.array(F.struct(F.lit("tasks").alias("sink"), whole.alias("value")), F.struct(F.lit("labels").alias("sink"), line("task_id", "label").alias("value")))
+    scratch = f"{tasks_path.rstrip('/')}-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, scratch)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    try:
+        tasks.select(F.inline(both)).write.partitionBy("sink").text(scratch)
+        for sink, target in (("tasks", tasks_path), ("labels", labels_path)):
+            made = path(f"{scratch}/sink={sink}")
+            fs.mkdirs(made)  # no rows, no folder
+            fs.delete(path(target), True)
+            fs.mkdirs(path(target).getParent())
+            if not fs.rename(made, path(target)):
+                raise OSError(f"can't move {sink} to {target}")
+    finally:
+        fs.delete(at, True)
 
 
 def csv(df: DataFrame, path: str, columns: Iterable[str], first: str | None = None, order: str = "config") -> None:
