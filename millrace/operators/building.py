@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import diffs, text
+from ..settled import settled, small
 
 #: Label that no loss is taken on.
 NO_LOSS = -100
@@ -37,10 +40,10 @@ def messages(df: DataFrame, conv: str, turn: str, role: str, said: str) -> DataF
     return df.groupBy(conv).agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
 
 
-def split_at_answer(df: DataFrame, col: str) -> DataFrame:
-    """df with `prompt`, the messages before the first answer, and `answer`, null if there is none."""
+def split_at_answer(df: DataFrame, col: str, label: str | None = None) -> DataFrame:
+    """df with `prompt`, the messages before the first answer, and `answer`; where there is none, all messages are the prompt and the answer is the label, if one is given, else null."""
     at = F.array_position(F.transform(col, lambda m: m["role"]), "assistant").cast("int")
-    return df.withColumn("prompt", F.when(at > 0, F.slice(col, F.lit(1), at - 1)).otherwise(F.col(col))).withColumn("answer", F.when(at > 0, F.get(F.col(col), at - 1)["content"]))
+    return df.withColumn("prompt", F.when(at > 0, F.slice(col, F.lit(1), at - 1)).otherwise(F.col(col))).withColumn("answer", F.when(at > 0, F.get(F.col(col), at - 1)["content"]).otherwise(F.lit(None) if label is None else F.col(label)))
 
 
 def pad_block(prompt_and_answer: Column, prompt: Column, block: int, pad_id: int) -> tuple[Column, Column]:
@@ -93,3 +96,45 @@ def summaries_block(summaries: DataFrame, task: str, place: str, file: str, summ
     """(task, block): a task's summaries in order, under headings."""
     parts = F.array_sort(F.collect_list(F.struct(place, F.col(file).alias("f"), F.col(summary).alias("s"))))
     return summaries.groupBy(task).agg(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("### "), p["f"], F.lit("\n"), p["s"])), "\n\n").alias("block"))
+
+
+#: What asks for a message from summaries. Fixed values.
+FROM_SUMMARIES = (
+    "The following are concise summaries of each file changed in a commit. Based on these summaries, write ONLY the appropriate one sentence commit message, between <msg> </msg> tags.\n\n"
+    "## File Summaries:\n\n"
+)
+
+
+def summary_messages(block: Column, system: Column) -> Column:
+    """The messages that ask for a commit message from a block of summaries: array<struct<role, content>>."""
+    said = [("system", system), ("user", F.concat(F.lit(FROM_SUMMARIES), block))]
+    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in said])
+
+
+@F.pandas_udf(T.StringType())
+def quoted(texts: pd.Series) -> pd.Series:
+    """A text as Python writes it in code; null for null. For rows that are reported, not for all."""
+    return texts.map(lambda t: None if t is None else repr(t))
+
+
+def label_gates(message: Column) -> tuple[Column, Column]:
+    """(label, reason): the cleaned label, and for an empty one the step that left nothing, with the text before that step."""
+    steps = [("clean_label", text.clean_label), ("normalize_label", text.normalize_label), ("semantic_clean", text.semantic_clean)]
+    before, after = F.coalesce(message, F.lit("")), []
+    for name, step in steps:
+        now = step(after[-1][2] if after else before)
+        after.append((name, after[-1][2] if after else before, now))
+    reason = F.lit(None).cast("string")
+    for name, was, now in reversed(after):
+        reason = F.when(now == "", F.concat(F.lit(f"empty after {name:<17} | was: "), quoted(was))).otherwise(reason)
+    label = after[-1][2]
+    return label, F.when(label == "", reason)
+
+
+def allowed(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is on a list; ids: one column. A list of few ids is broadcast; repeats and nulls on it do nothing."""
+    listed = ids.toDF("_id").where("_id IS NOT NULL").distinct()
+    name = "_id"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return df.join(small(settled(listed.withColumnRenamed("_id", name))), F.col(key) == F.col(name), "left_semi")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
+from ..functions import text
+from ..settled import settled, small
 
 ORDERS = (1, 2, 3, 4)
 
@@ -38,20 +40,44 @@ def corpus_sums(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(*sums) if by else counts.agg(*sums)
 
 
+def _grams(words: Column, n: int) -> Column:
+    """Hashes of the n-grams of a list."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.slice(words, i, F.lit(n))))
+
+
 def cider(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     """keys, cider: ten times the cosine of the n-gram weights of both texts, all orders at once.
 
-    Weights are frequencies, by length, times the log of documents over references that have the n-gram. A kernel gives each pair's
-    n-grams with both counts, so that only the document frequencies need a join; the rest is one aggregate by pair.
+    Weights are frequencies, by length, times the log of documents over references that have the n-gram. N-grams go by 64-bit hashes and are counted
+    map-side, as those of a pair lie in one task, and once: the counts are settled, for the document frequencies and for the weights. Frequencies are
+    broadcast if few, and joined by shuffle beyond, where the engine splits n-grams that very many pairs have.
     """
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("h"), tokens(F.col("ref")).alias("r"))
-    each = rows.select(*keys, F.size("h").alias("lh"), F.size("r").alias("lr"), F.inline_outer(sim.terms(F.col("h"), F.col("r"), len(ORDERS))))
-    df = each.where("b > 0").groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    none = F.array().cast("array<struct<n:int,g:bigint,a:bigint,b:bigint>>")
+    # A list that is shorter than n has no n-grams; an empty entry keeps pairs without any.
+    entry = lambda n, a, b: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
+    told = [F.when(F.size(c) >= n, F.transform(_grams(F.col(c), n), entry(n, a, b))).otherwise(none) for n in ORDERS for c, a, b in (("h", 1, 0), ("r", 0, 1))]
+    each = rows.select(*keys, F.size("h").alias("lh"), F.size("r").alias("lr"), F.inline_outer(F.flatten(F.array(*told))))
+    each = settled(each.groupBy(*keys, "lh", "lr", "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    df = small(settled(each.where("b > 0").groupBy("g").agg(F.count(F.lit(1)).alias("df"))))
     total = rows.select(F.count(F.lit(1)).alias("docs"))
     idf = F.log(F.greatest("docs", F.lit(1)) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
     weight = lambda count, length: F.coalesce(F.col(count), F.lit(0)) / F.greatest(F.col(length) - F.col("n") + 1, F.lit(1)) * idf
-    weighed = each.join(df, ["n", "g"], "left").crossJoin(F.broadcast(total)).select(*keys, weight("a", "lh").alias("x"), weight("b", "lr").alias("y"))
+    weighed = each.join(df, "g", "left").crossJoin(F.broadcast(total)).select(*keys, weight("a", "lh").alias("x"), weight("b", "lr").alias("y"))
     total_of = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     sums = weighed.groupBy(*keys).agg(total_of(F.col("x") * F.col("y")).alias("dot"), total_of(F.col("x") * F.col("x")).alias("a"), total_of(F.col("y") * F.col("y")).alias("b"))
     norm = F.sqrt("a") * F.sqrt("b")
     return sums.select(*keys, F.when(norm > 0, 10 * F.col("dot") / norm).otherwise(0.0).alias("cider"))
+
+
+#: What texts are taken for scores: evaluated samples clean both sides, simple ones cut at white space, tagged ones only lose the marks of the answer.
+VARIANTS = {
+    "evaluated": text.norm_tokens,
+    "simple": text.tokens,
+    "tagged": lambda c: text.norm_tokens(text.strip_message_tags(c)),
+}
+
+
+def cider_variant(pairs: DataFrame, keys: list[str], variant: str) -> DataFrame:
+    """CIDEr of one of VARIANTS. Pairs stay pairs in each: rows that are left out leave both sides."""
+    return cider(pairs, keys, VARIANTS[variant])

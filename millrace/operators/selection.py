@@ -24,14 +24,20 @@ def diverse_top(df: DataFrame, stratum: str, repo: str, score: str, order: str,
 def quota_pick(df: DataFrame, stratum: str, repo: str, score: str, order: str, quota: Column) -> DataFrame:
     """Up to `quota` rows a stratum by score; until half is chosen only repos not chosen yet.
 
-    Once half the quota is full of new repos the rule is open for all, so "seen so far" is a running count of first rows. Places and
-    counts come from sorted ranges, so a stratum, or a repo, may be any part of the rows.
+    Once half the quota is full of new repos the rule is open for all, so that a row's rank is its count of new repos up to there, and one more for each row
+    from then on. A repo's first row is its group's best, by one aggregate; places and counts come from one sort by ranges, so a stratum, or a repo, may be
+    any part of the rows.
     """
-    rank = [F.col(score).desc(), F.col(order)]
-    first = running(df, [stratum, repo], rank, "_nth").withColumn("_first", F.col("_nth") == 1)
-    seen = running(first, [stratum], rank, "_at", {"_upto": F.col("_first").cast("long")})
-    open_for = seen.where(F.col("_first") | (F.col("_upto") - F.col("_first").cast("long") >= F.floor(quota / 2)))
-    return running(open_for, [stratum], rank, "k").where(F.col("k") <= quota).drop("_nth", "_first", "_at", "_upto")
+    first, at, upto, least, need, start = "_first", "_at", "_upto", "_least", "_need", "_start"
+    worth = F.struct((-F.col(score).cast("double")).alias("s"), F.col(order).alias("o"))
+    best = df.groupBy(F.col(stratum).alias("_s"), F.col(repo).alias("_r")).agg(F.min(worth)["o"].alias(least))
+    marked = df.join(best, F.col(stratum).eqNullSafe(F.col("_s")) & F.col(repo).eqNullSafe(F.col("_r")) & (F.col(order) == F.col(least)), "left").withColumn(first, F.col(least).isNotNull()).drop("_s", "_r", least)
+    seen = running(marked.withColumn(need, F.floor(quota / 2)), [stratum], [F.col(score).desc(), F.col(order)], at, {upto: F.col(first).cast("long")})
+    # Where the rule opens: at the row that fills half the quota, or at once.
+    opens = seen.groupBy(F.col(stratum).alias("_s")).agg(F.min(F.when(F.col(need) <= 0, 0).when(F.col(first) & (F.col(upto) == F.col(need)), F.col(at))).alias(start))
+    ranked = seen.join(opens, F.col(stratum).eqNullSafe(F.col("_s")))
+    rank = F.when(F.col(at) > F.col(start), F.col(need) + F.col(at) - F.col(start)).when(F.col(first), F.col(upto))
+    return ranked.withColumn("k", rank).where(F.col("k") <= quota).select(*[F.col(f"`{c}`") for c in df.columns], "k")
 
 
 def quotas(df: DataFrame, stratum: str, slots: int, least: int = 5, many: int = 4, boost: float = 1.5) -> DataFrame:

@@ -84,6 +84,14 @@ def running_best(df: DataFrame, speed: str, quality: str, order: str) -> DataFra
     return df.withColumn("_best", F.max(quality).over(before)).where(F.col("_best").isNull() | (F.col(quality) > F.col("_best"))).drop("_best")
 
 
+def extremes(df: DataFrame, name: str, value: str) -> DataFrame:
+    """One row: max_name, max_value, min_name, min_value, mean, n; of equal values the smallest name. Nulls count for nothing."""
+    known = df.where(F.col(value).isNotNull())
+    low = F.min(F.struct(F.col(value).alias("v"), F.col(name).alias("n")))
+    high = F.min(F.struct((-F.col(value)).alias("v"), F.col(name).alias("n")))
+    return known.agg(high.alias("h"), low.alias("l"), F.avg(value).alias("mean"), F.count(value).alias("n")).select(F.col("h.n").alias("max_name"), (-F.col("h.v")).alias("max_value"), F.col("l.n").alias("min_name"), F.col("l.v").alias("min_value"), "mean", "n")
+
+
 def ratio_of_sums(a: Column, b: Column) -> Column:
     return F.sum(a) / F.greatest(F.sum(b), F.lit(1e-9))
 

@@ -69,6 +69,18 @@ def speedup_rating(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(rating.alias("rating")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(s), 4).alias("top"), F.min("l_orderkey").alias("first_order"))
 
 
+@query("""WITH s AS (SELECT l_suppkey, round(avg(l_quantity) / (SELECT avg(l_quantity) FROM lineitem WHERE l_linenumber = 1), 9) AS ratio FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
+SELECT arg_max(l_suppkey, struct_pack(a := ratio, b := -l_suppkey)) AS max_config, round(max(ratio), 6) AS max_speedup, arg_min(l_suppkey, struct_pack(a := ratio, b := l_suppkey)) AS min_config, round(min(ratio), 6) AS min_speedup, round(avg(ratio), 6) AS avg_speedup, count(*) AS configs FROM s""")
+def speedup_extremes(spark, sf_dir):
+    """Suppliers stand for configurations, and the first lines of orders for the baseline."""
+    lines = table(spark, sf_dir, "lineitem")
+    each = lines.where("l_linenumber > 1").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("speed"))
+    base = lines.where("l_linenumber = 1").agg(F.avg("l_quantity").alias("base"))
+    return stats.extremes(each.crossJoin(F.broadcast(base)).select("l_suppkey", F.round(F.col("speed") / F.col("base"), 9).alias("ratio")), "l_suppkey", "ratio").select(
+        F.col("max_name").alias("max_config"), F.round("max_value", 6).alias("max_speedup"), F.col("min_name").alias("min_config"), F.round("min_value", 6).alias("min_speedup"), F.round("mean", 6).alias("avg_speedup"), F.col("n").alias("configs")
+    )
+
+
 @query("SELECT p_brand, round(avg(p_retailprice) / max(avg(p_retailprice)) OVER (), 6) AS price, round(count(*)::DOUBLE / max(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")
 def radar_norm(spark, sf_dir):
     from pyspark.sql import Window as W

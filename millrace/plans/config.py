@@ -45,6 +45,30 @@ def expand(config: dict) -> list[dict]:
     return out
 
 
+def layered(defaults: dict, file: dict | None, overrides: dict) -> dict:
+    """Defaults, under a file's settings, under those of a command line; settings that a command line leaves at None stay."""
+    return merge(merge(defaults, file or {}), {k: v for k, v in overrides.items() if v is not None})
+
+
+def validated(config: dict, modes: tuple[str, ...], accelerators: int = 0) -> dict:
+    """The config, if its modes are known, its devices are there and its input is named; ValueError says what is wrong."""
+    unknown = [m for m in config.get("modes", ()) if m not in modes]
+    if unknown:
+        raise ValueError(f"no such mode: {', '.join(unknown)}; there are {', '.join(modes)}")
+    devices = config.get("devices") or []
+    if not devices:
+        raise ValueError("no device is named")
+    for d in devices:
+        kind, _, number = d.partition(":")
+        if kind == "cuda" and not accelerators:
+            raise ValueError(f"{d} is asked for, and there is no accelerator")
+        if kind == "cuda" and number and (not number.isdigit() or int(number) >= accelerators):
+            raise ValueError(f"{d} is asked for, and there are {accelerators}")
+    if not config.get("input"):
+        raise ValueError("no input is named")
+    return config
+
+
 def diff_cap(spec: str | int | None) -> tuple[str, float | None]:
     """("none", None), ("chars", n), ("tokens", n) or ("adaptive", percentile)."""
     s = str(spec if spec is not None else "none").strip().lower()

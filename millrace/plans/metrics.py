@@ -99,19 +99,38 @@ def bleu_norm_corpus(spark, sf_dir):
 @query()
 def bleu_code(spark, sf_dir):
     """Stemmed tokens of code, where names that the prompt has may be said without loss."""
-    rows = _pairs(spark, sf_dir).select("conv_id", "turn", sim.stems(text.code_tokens(F.col("hyp"))).alias("hyp"), sim.stems(text.code_tokens(F.col("ref"))).alias("ref"), sim.stems(text.identifiers(F.col("ref"))).alias("names"))
-    rows = rows.withColumn("ref", sim.tolerant_reference(F.col("hyp"), F.col("ref"), F.col("names")))
-    return evaluation.ngram_counts(rows, ["conv_id", "turn"], lambda c: c).select("conv_id", "turn", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
+    return _code_counts(spark, sf_dir).select("conv_id", "turn", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
 
 
-@query(f"""WITH {_components(_NORM)}, w AS (SELECT *, len(h) AS lh, len(r) AS lr FROM pairs), d AS (SELECT n, g, count(*) AS df FROM rg GROUP BY 1, 2), k AS (SELECT count(*) AS docs FROM pairs),
+_CIDER = """w AS (SELECT *, len(h) AS lh, len(r) AS lr FROM pairs), d AS (SELECT n, g, count(*) AS df FROM rg GROUP BY 1, 2), k AS (SELECT count(*) AS docs FROM pairs),
 hw AS (SELECT hg.conv_id, hg.turn, hg.n, hg.g, hg.c / greatest(lh - hg.n + 1, 1) * ln(greatest(docs, 1) / greatest(coalesce(df, 0), 1)) AS w FROM hg JOIN w USING (conv_id, turn) LEFT JOIN d ON hg.n = d.n AND hg.g = d.g, k),
 rw AS (SELECT rg.conv_id, rg.turn, rg.n, rg.g, rg.c / greatest(lr - rg.n + 1, 1) * ln(greatest(docs, 1) / greatest(coalesce(df, 0), 1)) AS w FROM rg JOIN w USING (conv_id, turn) LEFT JOIN d ON rg.n = d.n AND rg.g = d.g, k),
 dot AS (SELECT conv_id, turn, sum(hw.w * rw.w) AS dot FROM hw JOIN rw USING (conv_id, turn, n, g) GROUP BY 1, 2),
 a AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS a FROM hw GROUP BY 1, 2), b AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS b FROM rw GROUP BY 1, 2)
-SELECT conv_id, turn, round(coalesce(CASE WHEN a * b > 0 THEN 10 * dot / (a * b) END, 0.0), 6) AS cider FROM pairs LEFT JOIN dot USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
+SELECT conv_id, turn, round(coalesce(CASE WHEN a * b > 0 THEN 10 * dot / (a * b) END, 0.0), 6) AS cider FROM pairs LEFT JOIN dot USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)"""
+
+
+@query(f"WITH {_components(_NORM)}, {_CIDER}")
 def cider_pairs(spark, sf_dir):
-    return evaluation.cider(_pairs(spark, sf_dir), ["conv_id", "turn"], text.norm_tokens).withColumn("cider", F.round("cider", 6))
+    return evaluation.cider_variant(_pairs(spark, sf_dir), ["conv_id", "turn"], "evaluated").withColumn("cider", F.round("cider", 6))
+
+
+@query(f"WITH {_components(_SIMPLE)}, {_CIDER}")
+def cider_simple(spark, sf_dir):
+    return evaluation.cider_variant(_pairs(spark, sf_dir), ["conv_id", "turn"], "simple").withColumn("cider", F.round("cider", 6))
+
+
+def _code_counts(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", sim.stems(text.code_tokens(F.col("hyp"))).alias("hyp"), sim.stems(text.code_tokens(F.col("ref"))).alias("ref"), sim.stems(text.identifiers(F.col("ref"))).alias("names"))
+    rows = rows.withColumn("ref", sim.tolerant_reference(F.col("hyp"), F.col("ref"), F.col("names")))
+    return evaluation.ngram_counts(rows, ["conv_id", "turn"], lambda c: c)
+
+
+@query()
+def bleu_code_corpus(spark, sf_dir):
+    """The third corpus score: sums of the counts of BLEU-CODE, then the formula once; tests add them up in plain Python."""
+    counts = _code_counts(spark, sf_dir).withColumn("mode", F.col("conv_id") % 2)
+    return evaluation.corpus_sums(counts, ["mode"]).select("mode", "m1", "t1", "m4", "t4", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
 
 
 @query(f"""WITH {_components(_SIMPLE)}, q AS (SELECT conv_id % 2 AS mode, round({_bleu()}, 4) AS bleu4, hl, hl / (rl * 0.05 + 1e-9) AS tps FROM comp)
