@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -119,23 +119,38 @@ def common_subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
         yield pd.Series([common_length(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
 
 
-def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """Exact matches, then stems, each word once; the last word of one form meets the last of that form left on the other side; fragmentation penalty."""
+def _met(left_h: list[int], left_r: list[int], forms_h, forms_r) -> list[tuple[int, int]]:
+    """Pairs of places whose words share a form, from the last on: each word of the one side meets the last of the other that is left. forms: a place's forms."""
+    places: dict = {}
+    for j in left_r:
+        for f in forms_r(j):
+            places.setdefault(f, []).append(j)
+    pairs, gone = [], set()
+    for i in reversed(left_h):
+        best = -1
+        for f in forms_h(i):
+            js = places.get(f, [])
+            while js and js[-1] in gone:
+                js.pop()
+            if js:
+                best = max(best, js[-1])
+        if best >= 0:
+            gone.add(best)
+            pairs.append((i, best))
+    return pairs
+
+
+def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, synsets: dict[str, list] | None = None) -> float:
+    """Exact matches, then stems, then words that share a synset, each word once; the last word of one form meets the last of that form left on the other side; fragmentation penalty."""
     if not hyp or not ref:
         return 0.0
-    left_h, left_r, pairs = range(len(hyp)), range(len(ref)), []
-    for form in (lambda w: w, stem):
-        places: dict[str, list[int]] = {}
-        for j in left_r:
-            places.setdefault(form(ref[j]), []).append(j)
-        more = []
-        for i in reversed(left_h):
-            found = places.get(form(hyp[i]))
-            if found:
-                pairs.append((i, found.pop()))
-            else:
-                more.append(i)
-        left_h, left_r = more[::-1], sorted(j for js in places.values() for j in js)
+    stages = [lambda w: (w,), lambda w: (stem(w),)] + ([lambda w: synsets.get(w, ())] if synsets else [])
+    left_h, left_r, pairs = list(range(len(hyp))), list(range(len(ref))), []
+    for forms in stages:
+        found = _met(left_h, left_r, lambda i, forms=forms: forms(hyp[i]), lambda j, forms=forms: forms(ref[j]))
+        pairs += found
+        at, to = {i for i, _ in found}, {j for _, j in found}
+        left_h, left_r = [i for i in left_h if i not in at], [j for j in left_r if j not in to]
     if not pairs:
         return 0.0
     pairs.sort()
@@ -148,3 +163,14 @@ def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float
 def meteor(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([meteor_score(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
+
+
+def meteor_with(synsets: Column) -> Callable[[Column, Column], Column]:
+    """METEOR of two lists of words with a third stage; synsets: array<struct<word, sets array<string>>> of words of that pair at least."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, told in batches:
+            yield pd.Series([meteor_score(_words(x), _words(y), synsets={t["word"]: list(t["sets"]) for t in (s if s is not None else ())}) for x, y, s in zip(a, b, told, strict=True)])
+
+    return lambda h, r: score(h, r, synsets)
