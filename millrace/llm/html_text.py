@@ -53,6 +53,8 @@ VISIBILITY = re.compile(r"(?:^|;)\s*+visibility\s*+:\s*+(visible|hidden|collapse
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: The largest spans that HTML knows.
 COLSPAN, ROWSPAN = 1000, 65534
+#: The widest indent that is written. Deeper items stand under each other, so that a page of nested lists doesn't grow with the square of its depth.
+INDENT = 240
 
 
 class Node:
@@ -212,22 +214,30 @@ class _Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
-        self.blank, self.indent, self.marker = False, "", ""
+        self.parts: list[str] = []  # of the line that is being written
+        self.blank, self.indent, self.marker = False, 0, ""
 
     def text(self, s: str) -> None:
         s = SPACE.sub(" ", s)
-        if not self.line:
+        if not self.parts:
             s = s.lstrip(" ")
-        elif self.line.endswith(" "):
-            s = s[1:] if s.startswith(" ") else s
-        self.line += s
+        elif s.startswith(" ") and self.parts[-1].endswith(" "):
+            s = s[1:]
+        if s:
+            self.parts.append(s)
+
+    def taken(self) -> str:
+        """The line so far, which then is empty."""
+        line = "".join(self.parts)
+        self.parts.clear()
+        return line
 
     def put(self, line: str) -> None:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        self.lines.append((self.indent[: len(self.indent) - len(self.marker)] + self.marker + line).rstrip() if self.marker else (self.indent + line).rstrip())
+        room = min(self.indent, INDENT) - len(self.marker)
+        self.lines.append((" " * room + self.marker + line).rstrip())
         self.marker = ""
 
     def done(self) -> list[str]:
@@ -237,9 +247,9 @@ class _Page:
         return self.lines[first:last]
 
     def end(self, apart: bool = False) -> None:
-        if self.line.strip():
-            self.put(self.line.rstrip())
-        self.line = ""
+        line = self.taken().rstrip()
+        if line:
+            self.put(line)
         self.blank |= apart
 
 
@@ -363,11 +373,8 @@ def _render(top: Node, out: _Page, seen: bool):
             seen = n.visible(seen)
         name = n.name
         if name == "br":
-            if out.line.strip():
-                out.end()
-            else:
-                out.line = ""
-                out.put("")
+            line = out.taken().rstrip()
+            out.put(line)
         elif name == "hr":
             out.end(True)
         elif name == "img":
@@ -391,7 +398,7 @@ def _render(top: Node, out: _Page, seen: bool):
                 out.end(name == "blockquote")
                 step_in, kind = (more or "- ", True) if name == "li" else ("  ", False)
                 held = out.indent
-                out.indent = held + " " * len(step_in)
+                out.indent = held + len(step_in)
                 if kind:
                     out.marker = step_in if seen else ""
 
@@ -401,7 +408,7 @@ def _render(top: Node, out: _Page, seen: bool):
 
                 todo.append(("call", leave, None, seen))
             elif block:
-                inner = name in ("ul", "ol") and out.indent.endswith(" ")
+                inner = name in ("ul", "ol") and out.indent > 0
                 out.end(name in APART and not inner)
                 todo.append(("call", lambda a=name in APART and not inner: out.end(a), None, seen))
             count = int(n.attrs["start"]) if name == "ol" and re.fullmatch(r"-?\d{1,9}", n.attrs.get("start", "")) else 1
@@ -458,7 +465,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Defined cases: null and empty pages give an empty text; null and repeated ids stay as they are; broken markup gives
     what a browser would make of it, as far as the tree rules go: a tag that never ends hides the rest; tables of tables are rendered inside out, to any depth; cells reach
-    over rows and columns as they say, within HTML's own bounds (65,534 and 1,000); pages of any length take time in proportion; an empty
+    over rows and columns as they say, within HTML's own bounds (65,534 and 1,000); pages of any length take time in proportion, and indents wider than INDENT are written as that; an empty
     table gives no rows; other columns are not read.
     """
 
