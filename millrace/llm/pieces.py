@@ -240,22 +240,22 @@ def decode_pieces(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col
 
 
 def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens long, ids_sha256, decoded_sha256: whole texts encoded, and their ids decoded again. Cases as in `encode_pieces`."""
-    encoded = encode_pieces(docs, path, id_col, text_col)
+    """id, n_tokens long, ids_sha256, decoded_sha256: whole texts encoded, and their ids decoded again, one text at a time. Cases as in `encode_pieces`."""
 
     def scan(batches):
         own = codec(path)
         names = [str(i) for i in range(len(own.raw))]
         for batch in batches:
             n, told, read = [], [], []
-            for ids in _lists(batch.column("ids")):
+            for text in batch.column("text"):
+                ids = own.encode(text.as_py()).tolist()
                 n.append(len(ids))
                 told.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 read.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(read, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = encoded.select(F.col(id_col).alias("id"), "ids")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(scan, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
