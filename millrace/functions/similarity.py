@@ -44,27 +44,6 @@ def _words(xs) -> list[str]:
     return [] if xs is None else [x for x in xs if x is not None]
 
 
-def term_counts(a: list[str], b: list[str], orders: int) -> list[tuple[int, str, int, int]]:
-    """(order, n-gram, its number in a, its number in b) for each n-gram of either."""
-    out = []
-    for n in range(1, orders + 1):
-        x, y = _grams(a, n), _grams(b, n)
-        join = (lambda g: g) if n == 1 else "\u0001".join
-        out += [(n, join(g), x[g], y[g]) for g in x.keys() | y.keys()]
-    return out
-
-
-def terms(a: Column, b: Column, orders: int) -> Column:
-    """term_counts of two arrays of words, an array of (n, g, a, b)."""
-
-    @F.pandas_udf("array<struct<n:int,g:string,a:bigint,b:bigint>>")
-    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in pairs:
-            yield pd.Series([[dict(zip(("n", "g", "a", "b"), t, strict=True)) for t in term_counts(_words(x), _words(y), orders)] for x, y in zip(xs, ys, strict=True)])
-
-    return count(a, b)
-
-
 def bleu(matches: list[Column], totals: list[Column], hyp: Column, ref: Column) -> Column:
     """BLEU of up to four orders from counts: 0 without a common word, 0.1 for an order without matches, brevity penalty."""
     p = [F.when(m == 0, F.lit(0.1)).otherwise(m.cast("double")) / F.greatest(t, F.lit(1)) for m, t in zip(matches, totals, strict=True)]

@@ -71,15 +71,14 @@ def split_names(spark, sf_dir):
 
 @query()
 def normalize_labels(spark, sf_dir):
-    """The rules on whole texts of all documents. DuckDB's word bounds are ASCII's, so tests compare it with Python's."""
+    """The rules on whole texts of all documents. DuckDB's word bounds are ASCII's, so tests compare it with labels made by hand."""
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_label(F.col("text")).alias("label"))
 
 
 @query()
 def semantic_labels(spark, sf_dir):
-    """Chains of lookarounds, which DuckDB's engine lacks; tests compare it with Python's."""
-    said = F.concat(F.lit("SPARK CORE [SPARK-1234] wip Bugfixing http://a.org/x bug #12 v1.2.3 "), "text", F.lit(". Reviewed by Jane"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.final_label(said).alias("label"))
+    """Chains of lookarounds, which DuckDB's engine lacks; tests compare whole texts with labels made by hand."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.final_label(F.col("text")).alias("label"))
 
 
 @query("""SELECT conv_id, turn, trim(text, chr(10) || ' ') AS inner_text, CASE WHEN regexp_extract(line, '^(.*?[.!?])(?:\\s|$)', 1) = '' THEN line ELSE regexp_extract(line, '^(.*?[.!?])(?:\\s|$)', 1) END AS sentence

@@ -1,35 +1,30 @@
-import re
+"""Labels of whole texts: what is at a long text's end is cleaned like its start."""
 
 import pytest
 
 from millrace.plans import QUERIES
 
-PAD = "Ein längerer Satz über é a Wörter und so weiter. " * 5
+LONG = "Ein Satz über Wörter. " * 40
+#: doc_id: text, normalised label, final label; all by hand.
+CASES = {
+    1: (LONG + "(Prüfung) end", LONG + "end", LONG.lower().replace(".", "") + "end"),
+    2: (LONG + "Contributed by Lea Korn. [x] fix-up/`it`; b é c", LONG + "fix up it é", LONG.lower().replace(".", "") + "fix up it é"),
+    3: ("one (Reviewed by Tom) two", "one two", "one two"),
+    4: ("a tale of b cities", "tale of cities", "tale of cities"),
+    5: ("left-hand/right-hand `code`, [x]; done", "left hand right hand code done", "left hand right hand code done"),
+    6: (LONG + "\n\n" + LONG + "fixes xyz", LONG + LONG + "fixes xyz", LONG.lower().replace(".", "") * 2 + "fix xyz"),
+    7: ("", "", ""),
+    8: (None, None, None),
+}
 
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("labels")
-    rows = [(1, PAD + "Contributed by Jane Roe. (Reviewed by Max) [x] fix-up/`it`; b é c", "de"), (2, PAD + "see https://h.org/y SPARK-77 v2.3.4 tail", None), (3, "", "en"), (4, None, "en"), (5, PAD + "\n\n" + PAD + "fixes xyz", "en")]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{out}/documents.parquet")
-    return str(out), {i: t for i, t, _ in rows}
+    spark.createDataFrame([(i, t, [None, "de"][i % 2]) for i, (t, _, _) in CASES.items()], "doc_id long, text string, lang string").write.parquet(f"{out}/documents.parquet")
+    return str(out)
 
 
-def normalized(t):
-    t = re.sub(r"[Cc]ontributed\s+by\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)+\.?", "", t)
-    t = re.sub(r"\(\s*[A-Z][a-zA-Z][^)]*\)", "", t)
-    for signs in (r"[(){}\[\]]", r"[-/#]+", "[\"`';,*]+"):
-        t = re.sub(signs, " ", t)
-    t = re.sub(r"\b[a-zA-Z]\b", "", re.sub(r"\s+", " ", t).strip())
-    return re.sub(r"\s+", " ", t).strip()
-
-
-def test_normalize_labels(spark, sf_dir):
-    got = {r.doc_id: r.label for r in QUERIES["normalize_labels"](spark, sf_dir[0]).collect()}
-    assert got == {i: t if t is None else normalized(t) for i, t in sf_dir[1].items()}
-
-
-def test_semantic_labels_see_the_whole_text(spark, sf_dir):
-    got = {r.doc_id: r.label for r in QUERIES["semantic_labels"](spark, sf_dir[0]).collect()}
-    assert got[4] is None and got[1].count("satz") == 5 and got[5].count("satz") == 10
-    assert got[2].endswith("und so weiter see tail") and got[5].endswith("fix xyz") and "jane" not in got[1] and got[1].endswith("fix up it é")
+@pytest.mark.parametrize("name, place", [("normalize_labels", 1), ("semantic_labels", 2)])
+def test_labels_of_whole_texts(spark, sf_dir, name, place):
+    assert {r.doc_id: r.label for r in QUERIES[name](spark, sf_dir).collect()} == {i: case[place] for i, case in CASES.items()}
