@@ -74,9 +74,10 @@ def code_part(diff: Column) -> Column:
 
 def length_by_file(diff: Column) -> Column:
     """map<file, length of its chunk>; of a file's chunks the last counts."""
-    parts = split_diff(diff)
-    last = F.filter(parts, lambda f, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda g: g["file"] == f["file"]))
-    return F.map_from_entries(F.transform(last, lambda f: F.struct(f["file"], F.length(f["chunk"]).cast("long"))))
+    sizes = F.array_sort(F.transform(split_diff(diff), lambda f, i: F.struct(f["file"].alias("file"), i.alias("at"), F.length(f["chunk"]).cast("long").alias("size"))))
+    # Of neighbours in this order the last of a file stays. The list of one list gives it a name, so that it is made once.
+    lasts = lambda parts: F.filter(parts, lambda f, i: ~f["file"].eqNullSafe(F.get(parts, i + 1)["file"]))
+    return F.map_from_entries(F.transform(F.get(F.transform(F.array(sizes), lasts), F.lit(0)), lambda f: F.struct(f["file"], f["size"])))
 
 
 def code_files(files: Column) -> Column:

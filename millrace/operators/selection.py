@@ -78,7 +78,8 @@ def nearest(df: DataFrame, value: str, order: str, targets: list[int], k: int) -
     """(target, order, k): up to k rows a target, no row twice. Small targets want equality; larger ones allow 0.3 of themselves, at least 2.
 
     Targets take turns, in rising order, each from what those before have left. As those take k rows each, the first k times its turn
-    rows of a target hold all that it can get: one pass cuts to these, and the turns are taken on that small rest.
+    rows of a target hold all that it can get: one pass cuts to these, in each task before they move, and the turns are taken in a fold over that small rest, k times
+    the square of the targets' number at most.
     """
     targets = sorted(targets)
     distance = lambda t: F.abs(F.col(value) - t)
@@ -86,15 +87,19 @@ def nearest(df: DataFrame, value: str, order: str, targets: list[int], k: int) -
     offers = F.filter(F.array(*[F.when(fits(t), F.struct(F.lit(i).alias("turn"), F.lit(t).alias("target"), distance(t).alias("d"))) for i, t in enumerate(targets)]), lambda x: x.isNotNull())
     each = df.select(F.col(value).alias("v"), F.col(order).alias("id"), F.inline(offers))
     place = F.row_number().over(W.partitionBy("turn").orderBy("d", F.desc("v"), "id"))
-    rows = each.withColumn("p", place).where(F.col("p") <= k * len(targets)).orderBy("turn", "p").select("turn", "target", "id").collect()
-    taken, out, got = set(), [], {}
-    for r in rows:
-        if r["id"] not in taken and got.get(r["turn"], 0) < k:
-            taken.add(r["id"])
-            got[r["turn"]] = got.get(r["turn"], 0) + 1
-            out.append((r["target"], r["id"], got[r["turn"]]))
+    few = each.withColumn("p", place).where(F.col("p") <= k * len(targets))
+    in_turn = few.groupBy().agg(F.array_sort(F.collect_list(F.struct("turn", "p", "target", "id"))).alias("offers"))
     kind = df.schema[order].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"target int, `{order}` {kind}, k int")
+    one = f"struct<target:int,id:{kind},k:int>"
+
+    def take(taken: Column, x: Column) -> Column:
+        """taken, and the offer if its row is free and its target has room."""
+        own = F.size(F.filter(taken, lambda t: t["target"] == x["target"]))
+        free = ~F.exists(taken, lambda t: t["id"] == x["id"]) & (own < k)
+        return F.when(free, F.concat(taken, F.array(F.struct(x["target"].alias("target"), x["id"].alias("id"), (own + 1).alias("k")).cast(one)))).otherwise(taken)
+
+    taken = in_turn.select(F.inline(F.aggregate("offers", F.array().cast(f"array<{one}>"), take)))
+    return taken.select("target", F.col("id").alias(order), "k")
 
 
 def cap_grid(df: DataFrame, id_col: str, chars: str, tokens: str, caps: list[int], size: int, overhead: int) -> DataFrame:

@@ -109,3 +109,20 @@ def test_answers_from_labels_and_the_prompt_mask(spark):
     told = ids.select(*[c.alias(n) for c, n in zip(building.pad_block(F.col("all"), F.col("p"), 4, 0), ("ids", "labels"))]).collect()
     no = building.NO_LOSS
     assert [(r.ids, r.labels) for r in told] == [([1, 2, 3, 4, 5, 0, 0, 0], [no, no, 3, 4, 5, no, no, no]), ([7, 0, 0, 0], [7, no, no, no]), ([1, 2, 3, 4], [no] * 4)]
+
+
+def test_nearest_takes_turns(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, rng.randint(1, 40)) for i in range(150)] + [(900, None)]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(4)
+    for targets, k in (([1, 3, 5, 10, 12, 30], 4), ([20, 21, 22], 9), ([500], 3)):
+        taken, want = set(), []
+        for t in sorted(targets):
+            fit = [(abs(v - t), -v, i) for i, v in rows if v is not None and i not in taken and (v == t if t <= 5 else abs(v - t) <= max(0.3 * t, 2))]
+            for n, (_, _, i) in enumerate(sorted(fit)[:k], 1):
+                taken.add(i)
+                want.append((t, i, n))
+        assert sorted(map(tuple, selection.nearest(df, "v", "i", targets, k).collect())) == sorted(want)
+    assert selection.nearest(df.limit(0), "v", "i", [1], 2).count() == 0
