@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,6 +145,17 @@ def meteor(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([meteor_score(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
 
 
+def meteor_by(synsets: Broadcast) -> Callable[[Column, Column], Column]:
+    """METEOR of two lists of words with a third stage; synsets: a broadcast mapping of words to their synsets."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([meteor_score(_words(x), _words(y), synsets=synsets.value) for x, y in zip(a, b, strict=True)])
+
+    return score
+
+
 def meteor_with(synsets: Column) -> Callable[[Column, Column], Column]:
     """METEOR of two lists of words with a third stage; synsets: array<struct<word, sets array<string>>> of words of that pair at least."""
 

@@ -83,16 +83,25 @@ def cider_variant(pairs: DataFrame, keys: list[str], variant: str) -> DataFrame:
     return cider(pairs, keys, VARIANTS[variant])
 
 
+#: Up to so many characters of words and synsets a table of synonyms goes to every task whole.
+SYNONYM_CHARS = 8 << 20
+
+
 def meteor_by_synonyms(pairs: DataFrame, keys: list[str], tokens, synonyms: DataFrame) -> DataFrame:
     """keys, meteor: METEOR with exact, stem and synonym stages; synonyms: (word, synset), a word in as many synsets as it likes.
 
-    Each pair is given the synsets of its own words by a join, whose table side is broadcast if it has few rows and shuffled beyond. Keys name a pair; they may be null.
-    Words without a synset, empty texts and an empty table leave the other stages.
+    The table is measured: up to SYNONYM_CHARS it is broadcast, and no pair moves; beyond, each pair is given the synsets of its own words by a join. Keys name a pair; they may be
+    null. Words without a synset, empty texts and an empty table leave the other stages.
     """
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("_h"), tokens(F.col("ref")).alias("_r"))
     table = synonyms.toDF("_w", "_s").where("_w IS NOT NULL AND _s IS NOT NULL").groupBy("_w").agg(F.array_sort(F.collect_set(F.col("_s").cast("string"))).alias("_sets"))
+    table = settled(table)
+    chars = table.agg(F.sum(F.length("_w") + F.aggregate("_sets", F.lit(0), lambda a, x: a + F.length(x)))).first()[0] or 0
+    if chars <= SYNONYM_CHARS:
+        known = pairs.sparkSession.sparkContext.broadcast({r["_w"]: tuple(r["_sets"]) for r in table.collect()})
+        return rows.select(*keys, sim.meteor_by(known)(F.col("_h"), F.col("_r")).alias("meteor"))
     said = rows.select(*keys, F.explode(F.array_distinct(F.concat("_h", "_r"))).alias("_word"))
-    known = said.join(small(settled(table)), F.col("_word") == F.col("_w")).groupBy(*keys).agg(F.collect_list(F.struct(F.col("_word").alias("word"), F.col("_sets").alias("sets"))).alias("_told"))
+    known = said.join(table, F.col("_word") == F.col("_w")).groupBy(*keys).agg(F.collect_list(F.struct(F.col("_word").alias("word"), F.col("_sets").alias("sets"))).alias("_told"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"p.`{k}`").eqNullSafe(F.col(f"t.`{k}`"))

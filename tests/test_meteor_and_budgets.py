@@ -40,7 +40,9 @@ def test_stages_in_turn():
         assert math.isclose(similarity.meteor_score(hyp, ref), slow_score(hyp, ref, {})), (hyp, ref)
 
 
-def test_synonyms_by_join(spark):
+@pytest.mark.parametrize("chars", [1 << 20, 0])
+def test_synonyms_by_broadcast_and_by_join(spark, monkeypatch, chars):
+    monkeypatch.setattr(evaluation, "SYNONYM_CHARS", chars)
     pairs = spark.createDataFrame([(1, "mend the bug", "repair a bug"), (None, "add it", "insert it"), (3, "", "x"), (4, "x", "y")], "i int, ref string, hyp string")
     table = spark.createDataFrame([("mend", 2), ("repair", 1), ("repair", 2), ("add", 5), ("insert", 5), (None, 1), ("x", None)], "w string, s int")
     sets = {"mend": ["2"], "repair": ["1", "2"], "add": ["5"], "insert": ["5"]}
