@@ -50,6 +50,17 @@ def spread(value: Column) -> Column:
     return F.when((F.count(value) > 1) & (mean != 0), F.stddev_samp(value) / mean).otherwise(0.0)
 
 
+def difference_of_means(value: Column, first: Column, second: Column) -> Column:
+    """Mean of `value` where `first` holds less that where `second` does, null if either has none. Values count in whole millionths, in decimals, with one division of whole numbers at the
+    end: so the order of rows makes no difference, and a half stays a half for what rounds it."""
+    sums, counts = [], []
+    for side in (first, second):
+        sums.append(F.sum(F.when(side, (value.cast("decimal(20,6)") * 1_000_000).cast("decimal(20,0)"))).cast("decimal(26,0)"))
+        counts.append(F.count(F.when(side, value)).cast("decimal(11,0)"))
+    apart = sums[0] * counts[1] - sums[1] * counts[0]
+    return apart.cast("double") / F.nullif(counts[0].cast("double") * counts[1].cast("double") * 1e6, F.lit(0.0))
+
+
 def ranks_of_differences(pairs: DataFrame, difference: Column) -> DataFrame:
     """One row: n, w_plus, w_minus, ties (sum of t^3 - t) of the signed ranks of differences that are not 0; equal ones share a rank.
 

@@ -101,8 +101,9 @@ def pareto(spark, sf_dir):
 r AS (SELECT d, avg(i) OVER (PARTITION BY abs(d)) AS rank FROM (SELECT d, row_number() OVER (ORDER BY abs(d)) AS i FROM d WHERE d IS NOT NULL AND d <> 0))
 SELECT count(*) AS n, round(coalesce(sum(rank) FILTER (WHERE d > 0), 0), 3) AS w_plus, round(coalesce(sum(rank) FILTER (WHERE d < 0), 0), 3) AS w_minus, (SELECT coalesce(sum(t * t * t - t), 0)::BIGINT FROM (SELECT count(*) AS t FROM r GROUP BY abs(d))) AS ties FROM r""")
 def wilcoxon_parts(spark, sf_dir):
-    side = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
-    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(side(0) - side(1), 1).alias("d"))
+    parity = F.col("event_id") % 2
+    apart = stats.difference_of_means(F.col("value"), parity == 0, parity == 1)
+    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(apart, 1).alias("d"))
     return stats.ranks_of_differences(pairs, F.col("d")).select("n", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), "ties")
 
 
