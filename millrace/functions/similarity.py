@@ -5,14 +5,40 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .stemming import stem
 
+#: Rows of a batch that are Python objects at a time.
+AT_ONCE = 64
+
+
+def _by_row(kind: T.DataType, one: Callable) -> Callable[..., Column]:
+    """What `one` makes of each row's values, of one column or several. A batch stays in Arrow but for AT_ONCE rows of it, so that a task's memory doesn't follow the batch's words."""
+    out = to_arrow_type(kind)
+
+    def over(columns: tuple) -> pa.Array:
+        parts = []
+        for at in range(0, len(columns[0]), AT_ONCE):
+            rows = zip(*(c.slice(at, AT_ONCE).to_numpy(zero_copy_only=False) for c in columns), strict=True)
+            parts.append(pa.array([one(*row) for row in rows], out))
+        return pa.concat_arrays(parts) if parts else pa.array([], out)
+
+    @F.arrow_udf(kind)
+    def of_one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return (over((batch,)) for batch in batches)
+
+    @F.arrow_udf(kind)
+    def of_several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return map(over, batches)
+
+    return lambda *columns: of_several(*columns) if len(columns) > 1 else of_one(*columns)
+
 
 def _grams(words: list[str], n: int) -> Counter:
     """n-grams with their numbers; single words stand for themselves."""
@@ -33,12 +59,7 @@ def overlap_counts(a: list[str], b: list[str], orders: int) -> list[int]:
 def overlaps(a: Column, b: Column, orders: int) -> Column:
     """overlap_counts of two arrays of words, an array of `orders` numbers; null words and null arrays count as none."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for xs, ys in pairs:
-            yield pd.Series([overlap_counts(_words(x), _words(y), orders) for x, y in zip(xs, ys, strict=True)])
-
-    return count(a, b)
+    return _by_row(T.ArrayType(T.LongType()), lambda x, y: overlap_counts(_words(x), _words(y), orders))(a, b)
 
 
 def _words(xs) -> list[str]:
@@ -59,9 +80,21 @@ def f_score(overlap: Column, hyp: Column, ref: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
-def tolerant_reference(hyp: Column, ref: Column, names: Column) -> Column:
-    """The reference with those words of the hypothesis that it lacks and that name something."""
-    return F.concat(ref, F.filter(hyp, lambda w: ~F.array_contains(ref, w) & F.array_contains(names, w)))
+def _tolerant(hyp: list[str], ref: list[str], names: list[str]) -> list[str]:
+    known = set(names).difference(ref)
+    return ref + [w for w in hyp if w in known]
+
+
+def stemmed_overlaps(hyp: Column, ref: Column, orders: int, names: Column | None = None) -> Column:
+    """struct<m array<long>, h long, r long>: the overlaps of the stems of two lists of words, and their lengths; with `names`, the reference also has those words of the hypothesis that name something."""
+
+    def count(*lists):
+        h, r, *n = ([stem(w) for w in _words(ws)] for ws in lists)
+        r = _tolerant(h, r, *n) if n else r
+        return {"m": overlap_counts(h, r, orders), "h": len(h), "r": len(r)}
+
+    columns = [hyp, ref] if names is None else [hyp, ref, names]
+    return _by_row(T.StructType().add("m", T.ArrayType(T.LongType())).add("h", T.LongType()).add("r", T.LongType()), count)(*columns)
 
 
 def speed_quality(quality: Column, speed: Column) -> Column:
@@ -72,12 +105,7 @@ def speed_quality(quality: Column, speed: Column) -> Column:
 def stems(words: Column, longer_than: int = 0) -> Column:
     """Words by their stems, those of up to `longer_than` letters as they are."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda ws: [stem(w) if len(w) > longer_than else w for w in _words(ws)])
-
-    return cut(words)
+    return _by_row(T.ArrayType(T.StringType()), lambda ws: [stem(w) if len(w) > longer_than else w for w in _words(ws)])(words)
 
 
 def common_length(a: list, b: list) -> int:
@@ -93,10 +121,8 @@ def common_length(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def common_subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([common_length(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
+def common_subsequence(a: Column | str, b: Column | str) -> Column:
+    return _by_row(T.LongType(), lambda x, y: common_length(_words(x), _words(y)))(a, b)
 
 
 def _met(left_h: list[int], left_r: list[int], forms_h, forms_r) -> list[tuple[int, int]]:
@@ -139,29 +165,16 @@ def meteor_score(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float
     return (1 - gamma * (chunks / m) ** beta) * p * r / (alpha * p + (1 - alpha) * r)
 
 
-@F.pandas_udf(T.DoubleType())
-def meteor(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([meteor_score(_words(x), _words(y)) for x, y in zip(a, b, strict=True)])
+def meteor(a: Column | str, b: Column | str) -> Column:
+    return _by_row(T.DoubleType(), lambda x, y: meteor_score(_words(x), _words(y)))(a, b)
 
 
 def meteor_by(synsets: Broadcast) -> Callable[[Column, Column], Column]:
     """METEOR of two lists of words with a third stage; synsets: a broadcast mapping of words to their synsets."""
-
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([meteor_score(_words(x), _words(y), synsets=synsets.value) for x, y in zip(a, b, strict=True)])
-
-    return score
+    return _by_row(T.DoubleType(), lambda x, y: meteor_score(_words(x), _words(y), synsets=synsets.value))
 
 
 def meteor_with(synsets: Column) -> Callable[[Column, Column], Column]:
     """METEOR of two lists of words with a third stage; synsets: array<struct<word, sets array<string>>> of words of that pair at least."""
-
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, told in batches:
-            yield pd.Series([meteor_score(_words(x), _words(y), synsets={t["word"]: list(t["sets"]) for t in (s if s is not None else ())}) for x, y, s in zip(a, b, told, strict=True)])
-
+    score = _by_row(T.DoubleType(), lambda x, y, told: meteor_score(_words(x), _words(y), synsets={t["word"]: list(t["sets"]) for t in (told if told is not None else ())}))
     return lambda h, r: score(h, r, synsets)

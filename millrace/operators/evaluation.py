@@ -24,7 +24,17 @@ def answer_pairs(turns: DataFrame) -> DataFrame:
 def ngram_counts(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     """keys, m1..m4, t1..t4, h, r: matches and totals by order, and lengths. They add up, so a corpus score is one from their sums."""
     rows = pairs.select(*keys, tokens(F.col("hyp")).alias("_h"), tokens(F.col("ref")).alias("_r"))
-    rows = rows.select(*keys, sim.overlaps(F.col("_h"), F.col("_r"), len(ORDERS)).alias("_m"), F.size("_h").cast("long").alias("h"), F.size("_r").cast("long").alias("r"))
+    return _by_order(rows.select(*keys, sim.overlaps(F.col("_h"), F.col("_r"), len(ORDERS)).alias("_m"), F.size("_h").cast("long").alias("h"), F.size("_r").cast("long").alias("r")), keys)
+
+
+def code_counts(pairs: DataFrame, keys: list[str], tolerant: bool) -> DataFrame:
+    """As ngram_counts, of stemmed tokens of code; if tolerant, names that the prompt has may be said without loss. One kernel stems, adds names and counts, so that words go to Python once."""
+    names = text.identifiers(F.col("ref")) if tolerant else None
+    counted = sim.stemmed_overlaps(text.code_tokens(F.col("hyp")), text.code_tokens(F.col("ref")), len(ORDERS), names)
+    return _by_order(pairs.select(*keys, counted.alias("_c")).select(*keys, F.col("_c.m").alias("_m"), "_c.h", "_c.r"), keys)
+
+
+def _by_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     cols = [c for n in ORDERS for c in (F.get("_m", F.lit(n - 1)).alias(f"m{n}"), F.greatest(F.col("h") - (n - 1), F.lit(0)).alias(f"t{n}"))]
     return rows.select(*keys, *cols, "h", "r")
 

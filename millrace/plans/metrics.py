@@ -130,9 +130,7 @@ def cider_simple(spark, sf_dir):
 
 
 def _code_counts(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("conv_id", "turn", sim.stems(text.code_tokens(F.col("hyp"))).alias("hyp"), sim.stems(text.code_tokens(F.col("ref"))).alias("ref"), sim.stems(text.identifiers(F.col("ref"))).alias("names"))
-    rows = rows.withColumn("ref", sim.tolerant_reference(F.col("hyp"), F.col("ref"), F.col("names")))
-    return evaluation.ngram_counts(rows, ["conv_id", "turn"], lambda c: c)
+    return evaluation.code_counts(_pairs(spark, sf_dir), ["conv_id", "turn"], tolerant=True)
 
 
 @query()
