@@ -94,9 +94,8 @@ def meteor_synonyms(spark, sf_dir):
 @query()
 def bleu_code_strict(spark, sf_dir):
     """Stemmed tokens of code, without tolerance for names; tests compare it with plain Python."""
-    cut = lambda c: sim.stems(text.code_tokens(F.col(c))).alias(c)
-    rows = _pairs(spark, sf_dir).select("conv_id", "turn", cut("hyp"), cut("ref"))
-    return evaluation.ngram_counts(rows, ["conv_id", "turn"], lambda c: c).select("conv_id", "turn", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
+    counts = evaluation.code_counts(_pairs(spark, sf_dir), ["conv_id", "turn"], tolerant=False)
+    return counts.select("conv_id", "turn", F.round(evaluation.bleu_of(), 6).alias("bleu_code"))
 
 
 @query(f"WITH {_components(_NORM)}, s AS (SELECT conv_id % 2 AS mode, {_SUMS}, sum(hl)::BIGINT AS hl, sum(rl)::BIGINT AS rl FROM comp GROUP BY 1) SELECT mode, m1, t1, m4, t4, round({_bleu()}, 6) AS bleu_norm FROM s")
