@@ -69,7 +69,7 @@ def cider(pairs: DataFrame, keys: list[str], tokens) -> DataFrame:
     told = [F.when(F.size(c) >= n, F.transform(_grams(F.col(c), n), entry(n, a, b))).otherwise(none) for n in ORDERS for c, a, b in (("h", 1, 0), ("r", 0, 1))]
     each = rows.select(*keys, F.size("h").alias("lh"), F.size("r").alias("lr"), F.inline_outer(F.flatten(F.array(*told))))
     each = settled(each.groupBy(*keys, "lh", "lr", "n", "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    df = small(settled(each.where("b > 0").groupBy("g").agg(F.count(F.lit(1)).alias("df"))))
+    df = small(settled(each.where("b > 0").groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")))  # 1 weighs as none does
     total = rows.select(F.count(F.lit(1)).alias("docs"))
     idf = F.log(F.greatest("docs", F.lit(1)) / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)))
     weight = lambda count, length: F.coalesce(F.col(count), F.lit(0)) / F.greatest(F.col(length) - F.col("n") + 1, F.lit(1)) * idf
