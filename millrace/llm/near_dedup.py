@@ -12,6 +12,7 @@ so that a group of near copies costs about its own length, and it gives a star f
 for a task is cut into chunks that share a few leaders, which joins most of it in one pass. What that leaves in several
 components goes on: where a main component holds half of the rows, those outside it are compared with all chunks; a group without one is
 dealt anew by its other bands first, of which two texts that are alike share some.
+A band's group that is compared whole needs no second deal, so that only rows that share two bands' groups without a main component meet again.
 """
 
 from __future__ import annotations
@@ -220,14 +221,15 @@ def _parts(members: DataFrame) -> DataFrame:
     return settle(sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / CHUNK_ROWS, F.col("b") / CHUNK_BYTES)).cast("int")).select("g", "c", "parts"))
 
 
-def _links(members: DataFrame, attach, kernel, percent: int, hashes: int, buckets) -> DataFrame:
+def _links(members: DataFrame, attach, kernel, percent: int, hashes: int, buckets=None) -> DataFrame:
     """Links (u, v) that join all rows of a group g which the kernel joins.
 
     members: g, id, n, bytes, without the data that the kernel compares; attach(rows) adds it as `data` to rows with an
-    id. So only what is to be compared moves, once. buckets(rows) adds `sub`, a row for each bucket of the id.
+    id. So only what is to be compared moves, once. buckets(rows) adds `sub`, a row for each bucket of the id; without it
+    the groups are the buckets.
     """
     sizes = _parts(members)
-    rows = members.select("g", "id", "n", "bytes").join(small(sizes), "g")
+    rows = settle(members.select("g", "id", "n", "bytes").join(small(sizes), "g"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")) < LEADERS)
     chunks = F.when(leader, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
@@ -246,29 +248,29 @@ def _links(members: DataFrame, attach, kernel, percent: int, hashes: int, bucket
     labelled = settle(labelled)
     most = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max("k").alias("most"), F.sum("k").alias("k"))
     left = settle(most.where("most < k").select("g", (2 * F.col("most") >= F.col("k")).alias("main")))
-    # A main component leaves few rows to compare with it. Without one, rows meet by their other bands first.
-    rest = labelled.join(small(left.where("main").select("g")), "g")
-    without = left.where("NOT main").select("g")
-    if not without.isEmpty():
-        dealt = buckets(labelled.join(small(without), "g")).where("sub <> g").withColumn("g", F.xxhash64("g", "sub")).drop("sub")
-        dealt = settle(dealt)
-        mixed = settle(dealt.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g"))
-        rest = rest.select("g", "id", "n", "bytes", "label").union(dealt.join(small(mixed), "g").select("g", "id", "n", "bytes", "label"))
-    elif left.isEmpty():
+    if left.isEmpty():
         return first
+    # A main component leaves few rows to compare with it. Without one, rows meet by their other bands first.
+    rest = settle(labelled.join(small(left), "g"))
+    without = rest.where("NOT main").drop("main")
+    if buckets:
+        dealt = buckets(without).withColumn("g", F.xxhash64("g", "sub")).drop("sub")
+    else:
+        # Two rows that share another band were compared there already, unless that band's group has no main component either.
+        pairs = F.flatten(F.transform("gs", lambda a: F.transform(F.filter("gs", lambda b: b > a), lambda b: F.xxhash64(a, b))))
+        dealt = without.groupBy("id", "n", "bytes", "label").agg(F.collect_set("g").alias("gs")).withColumn("g", F.explode(pairs)).drop("gs")
+    rest = rest.where("main").drop("main").unionByName(dealt)
     return first.union(_links_outside(settle(rest), attach, kernel, percent, hashes))
 
 
 def _links_outside(members: DataFrame, attach, kernel, percent: int, hashes: int) -> DataFrame:
     """Links between the components (label) of each group g. In groups of several chunks, rows outside the main component meet all chunks, in blocks; nothing else is left to compare."""
-    rows = members.join(small(_parts(members)), "g")
-    counts = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b"))
-    main = counts.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.sum("b").alias("b"))
-    outer = (F.col("k") - F.col("most")) / F.col("k")
-    blocks = F.ceil(F.greatest(outer * F.col("k") / CHUNK_ROWS, outer * F.col("b") / CHUNK_BYTES)).cast("int")
-    main = settle(main.select("g", "main", blocks.alias("blocks")))
+    counts = members.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b"))
+    main = counts.groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.sum("b").alias("b")).where("most < k")
+    chunks = lambda share: F.ceil(share * F.greatest(F.col("k") / CHUNK_ROWS, F.col("b") / CHUNK_BYTES)).cast("int")
+    main = settle(main.select("g", "main", chunks(F.lit(1)).alias("parts"), chunks((F.col("k") - F.col("most")) / F.col("k")).alias("blocks")))
     chunk, block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
-    dealt = rows.join(small(main), "g").withColumns({"chunk": F.when(F.col("parts") > 1, chunk).otherwise(0), "block": F.when(F.col("parts") > 1, block).otherwise(0)})
+    dealt = members.join(small(main), "g").withColumns({"chunk": F.when(F.col("parts") > 1, chunk).otherwise(0), "block": F.when(F.col("parts") > 1, block).otherwise(0)})
     cells = lambda block, chunk: F.struct(block.cast("int").alias("block"), chunk.cast("int").alias("chunk"))
     against = F.transform(F.sequence(F.lit(0), F.when(F.col("parts") > 1, F.col("blocks") - 1).otherwise(0)), lambda b: cells(b, F.col("chunk")))
     outside = F.when(F.col("label") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: cells(F.col("block"), c)))
@@ -303,9 +305,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return with_signature(r).withColumn("sub", bucket).drop("data")
 
     keys = kinds.select("id", "n", bucket.alias("g"))
-    shared = settle(keys.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"))
-    members = settle(keys.join(small(shared), "g").withColumn("bytes", F.lit(4 * hashes)))
-    clusters = settle(components(_links(members, with_signature, _by_signature, percent, hashes, with_buckets)))
+    clusters = settle(components(_links(keys.withColumn("bytes", F.lit(4 * hashes)), with_signature, _by_signature, percent, hashes)))
 
     named_sets = kinds.select("id", "k1", "k2", "n")
     fellows = settle(clusters.join(named_sets.select("id", "n"), "id").select(F.col("label").alias("g"), "id", "n", (8 * F.col("n")).alias("bytes")))
