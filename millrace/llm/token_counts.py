@@ -28,6 +28,11 @@ PIECES_HELD, CHUNKS_HELD, PAIRS_HELD = 200_000, 400_000, 500_000
 #: Characters of the longest chunk or piece that is remembered; longer ones are counted each time, so that caches are bounded in bytes too.
 LONGEST_HELD = 64
 NO_PAIR = 1 << 60
+#: Bits of a token's number in a pair of them; vocabularies are far smaller.
+NUMBER_BITS = 32
+#: Last bytes of a token by which its length is looked up, and the lengths of tokens without so many.
+TAIL = 4
+SHORT = (3, 2, 1)
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -60,8 +65,10 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> int:
         spaced = " " + chunk
-        pieces = [spaced] if chunk.isascii() and chunk.isalpha() else self.count.cut(spaced)
-        n = sum(self.count.piece(p)[-1] for p in pieces)
+        if chunk.isascii() and chunk.isalpha():
+            n = self.count.byte_prefixes(spaced.encode())[-1]  # one piece, remembered here alone
+        else:
+            n = sum(self.count.piece(p)[-1] for p in self.count.cut(spaced))
         if len(chunk) <= LONGEST_HELD:
             if len(self) > CHUNKS_HELD:
                 self.clear()
@@ -89,10 +96,16 @@ class PrefixCounter:
         self.made: dict[bytes, tuple[bytes, bytes, int]] = {}
         for (a, b), i in self.rank.items():
             self.made.setdefault(a + b, (a, b, i))
-        self.vocabulary = {plain(t) for t in spec["model"]["vocab"]}
-        self.longest = max(map(len, self.vocabulary))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.tokens = [plain(t) for t in spec["model"]["vocab"]]
+        #: Numbers of the tokens that BPE makes of their own bytes; ~number where that is not known yet.
+        self.numbers = {t: ~i for i, t in enumerate(self.tokens)}
+        #: Lengths, falling, that tokens with these last TAIL bytes may have; with others they are shorter.
+        self.lengths = {}
+        for t in self.tokens:
+            if len(t) >= TAIL:
+                self.lengths.setdefault(t[-TAIL:], set()).add(len(t))
+        self.lengths = {tail: (*sorted(ns, reverse=True), *SHORT) for tail, ns in self.lengths.items()}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.chunks = _Chunks(self)
 
@@ -106,44 +119,50 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _own(self, token: bytes) -> bool:
-        """Whether BPE makes one token of a token's bytes."""
-        good = self.whole.get(token)
-        if good is None:
-            good = self.whole[token] = self.encode(token) == [token]
-        return good
-
-    def _fits(self, a: bytes, b: bytes) -> bool:
-        """Whether BPE makes a, b of their bytes together: backwards in time, no merge over the border came before the merge undone last."""
-        good = self.pairs.get((a, b))
-        if good is not None:
-            return good
+    def _own(self, token: bytes) -> int | None:
+        """The number of a token if BPE makes one token of its bytes; else it is none from here on."""
+        number = ~self.numbers.pop(token)
+        if self.encode(token) != [token]:
+            return None
+        self.numbers[token] = number
+        return number
+
+    def _fits(self, pair: int) -> bool:
+        """Whether BPE makes a, b, a pair of numbers, of their bytes together: backwards in time, no merge over the border came before the merge undone last."""
         if len(self.pairs) > PAIRS_HELD:
             self.pairs.clear()
-        x, y, before = a, b, NO_PAIR
+        x, y, before = self.tokens[pair >> NUMBER_BITS], self.tokens[pair & (1 << NUMBER_BITS) - 1], NO_PAIR
         while (self.rank.get((x, y), NO_PAIR)) >= before:
             left, right = self.made.get(x), self.made.get(y)
             if left is None and right is None:
-                self.pairs[a, b] = True
+                self.pairs[pair] = True
                 return True
             if right is None or (left is not None and left[2] > right[2]):
                 x, before = left[1], left[2]  # of equal ranks the left merge comes first: x's before the border's ...
             else:
                 y, before = right[0], right[2] + 1  # ... and the border's before y's
-        self.pairs[a, b] = False
+        self.pairs[pair] = False
         return False
 
     def byte_prefixes(self, data: bytes) -> list[int]:
         """Token counts of all prefixes of a piece, from the empty one to the whole."""
-        last = [b""]
-        count = [0]
+        last, count = [0], [0]
+        number_of, known, lengths, fits = self.numbers.get, self.pairs.get, self.lengths.get, self._fits
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in self.vocabulary and (self.whole.get(token) or self._own(token)) and (start == 0 or self._fits(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+            for n in lengths(data[end - TAIL : end], SHORT) if end >= TAIL else SHORT[TAIL - 1 - end :]:
+                start = end - n
+                if start < 0:
+                    continue
+                token = number_of(data[start:end])
+                if token is None or token < 0 and (token := self._own(data[start:end])) is None:
+                    continue
+                if start:
+                    good = known(pair := last[start] << NUMBER_BITS | token)
+                    if not (fits(pair) if good is None else good):
+                        continue
+                last.append(token)
+                count.append(count[start] + 1)
+                break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return count
