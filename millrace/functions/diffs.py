@@ -99,12 +99,21 @@ def excluded_suffixes(files: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(files, lambda p: ~is_code(p)), suffix)))
 
 
+def _lines_with(diff: Column, sign: str) -> Column:
+    """Lines that begin with a sign, but not with three of it. Counted by what is left without the signs, since a pattern would be tried at each character."""
+    lines = F.concat(F.lit("\n"), diff)
+    without = lambda mark: F.octet_length(F.replace(lines, F.lit(mark), F.lit("")))
+    one, three = "\n" + sign, "\n" + 3 * sign
+    every, headers = (F.octet_length(lines) - without(one)) / len(one), (F.octet_length(lines) - without(three)) / len(three)
+    return (every - headers).cast("long")
+
+
 def added_lines(diff: Column) -> Column:
-    return F.regexp_count(diff, F.lit(r"(?dm)^\+(?!\+\+)")).cast("long")
+    return _lines_with(diff, "+")
 
 
 def deleted_lines(diff: Column) -> Column:
-    return F.regexp_count(diff, F.lit(r"(?dm)^-(?!--)")).cast("long")
+    return _lines_with(diff, "-")
 
 
 def between_marks(text: Column) -> Column:
